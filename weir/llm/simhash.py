@@ -122,7 +122,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-WIDE, SKETCH = 4, 12
+WIDE, SKETCH, SLACK = 4, 12, 0.15
 
 
 def wide_features(text: bytes, shingle: int) -> tuple[list[int], list[int]]:
@@ -143,6 +143,24 @@ def far_bits(similarity: float) -> int:
     return round(64 * WIDE * float(np.arccos(cosine)) / float(np.pi))
 
 
+def at_least(pairs: DataFrame, rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of ids whose texts have that share of their shingles in common."""
+    asked = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct()
+    texts = rows.join(asked, rows.doc_id == asked.a, "left_semi").dropDuplicates(["doc_id"])
+    both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
+
+    def fn(a, b, ta, tb):
+        keep = []
+        for i, (x, y) in enumerate(zip(ta, tb)):
+            x, y = np.unique(shingle_hashes(x, shingle)), np.unique(shingle_hashes(y, shingle))
+            common = len(np.intersect1d(x, y, assume_unique=True))
+            if common >= similarity * (len(x) + len(y) - common):
+                keep.append(i)
+        return {"a": [a[i] for i in keep], "b": [b[i] for i in keep]}
+
+    return map_rows(both.select("a", "b", "ta", "tb"), fn, "a bigint, b bigint")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, component_id) at a similarity of word shingles, of each row with an id.
 
@@ -152,7 +170,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     one; what they fetch is verified by the complete distance of 256-bit fingerprints.
     In a table's bucket each row is compared with the first and with the one before it,
     so a bucket of any size costs two rows for each of its own; a text meets its group
-    in up to SKETCH buckets. Texts without words group with none but equal rows of theirs.
+    in up to SKETCH buckets. Texts without words are copies of each other.
     """
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_bytes(text_col).alias("text")).where("doc_id is not null")
 
@@ -170,7 +188,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     met = tables.select("p", F.lag("p").over(order).alias("before"), F.first("p").over(order).alias("first")).where("before is not null")
     pairs = met.select("p", F.explode(F.array_distinct(F.array("before", "first"))).alias("q"))
     distance = sum((F.bit_count(F.col(f"p.{f}").bitwiseXOR(F.col(f"q.{f}"))) for f in wide), F.lit(0))
-    edges = pairs.where(distance <= far_bits(similarity)).select(F.col("p.least").alias("a"), F.col("q.least").alias("b"))
+    near = pairs.select(F.col("p.least").alias("a"), F.col("q.least").alias("b"), distance.alias("d")).where(F.col("d") <= far_bits(similarity - SLACK)).distinct()
+    near = materialize(near, "near-pairs")
+    sure = far_bits((3 + similarity) / 4)
+    edges = near.where(F.col("d") <= sure).select("a", "b").unionByName(at_least(near.where(F.col("d") > sure), rows, shingle, similarity))
     roots = components(edges)
     named = distinct.join(roots, distinct.least == roots.node, "left").select(*wide, F.coalesce("root", "least").alias("component_id"))
     return prints.join(named, wide).select("doc_id", "component_id")
