@@ -88,10 +88,11 @@ def fit(docs: DataFrame, docs_per_lang: int = 200, dict_bytes: int = 32768, **mo
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs with lang_pred, score and rejected."""
+    """docs with lang_pred, score and rejected; columns of those names are replaced."""
+    added = StructType.fromDDL("lang_pred string, score double, rejected boolean")
+    docs = docs.drop(*[n for n in added.names if n in docs.columns])
     names = docs.columns
     at = names.index(text_col)
-    added = StructType.fromDDL("lang_pred string, score double, rejected boolean")
 
     def fn(*columns):
         got = [model.predict(t) for t in columns[at]]
@@ -100,6 +101,18 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     return map_rows(docs, fn, StructType(docs.schema.fields + added.fields))
 
 
+def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, whose language is not in doubt."""
+    names = docs.columns
+    at = names.index(text_col)
+
+    def fn(*columns):
+        keep = [not model.predict(t)[2] for t in columns[at]]
+        return {n: [v for v, k in zip(c, keep) if k] for n, c in zip(names, columns)}
+
+    return map_rows(docs, fn, docs.schema)
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's language, learned from the folds that are not held out."""
     docs = read_table(spark, sf_dir, "documents")

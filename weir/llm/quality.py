@@ -139,7 +139,7 @@ class Model:
         y = np.array(labels, np.float64)
         self.share = float(y.mean()) if len(y) else 0.5
         self.network = None
-        if 0 < self.share < 1:
+        if len(set(labels)) == 2:
             self.vectors = Vectors([WORD.findall(t) for t in texts])
             self.network = Network(np.stack([self.vectors.pool(t) for t in texts]), y)
 

@@ -57,7 +57,7 @@ def digest(host: F.Column, path: F.Column) -> F.Column:
 
 
 def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", url_col: str = "url") -> DataFrame:
-    """pages with host, path, rule and verdict. rules: rule_verdict, rule_host, rule_path.
+    """pages with host, path, rule and verdict, in place of columns of those names. rules: rule_verdict, rule_host, rule_path.
 
     Rules are joined by broadcast while there are at most BROADCAST_RULES, and else by a
     shuffled equi-join on the prefix. Each distinct (host, path) is expanded once.
@@ -65,7 +65,7 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", url_col: s
     spec = rules.agg(F.count(F.lit(1)), F.max(F.size(F.split("rule_host", "[.]"))), F.sort_array(F.collect_set(F.length("rule_path")))).first()
     n_rules, depth, lengths = spec[0], spec[1] or 0, list(spec[2] or [])
     host, path = split_url(F.col(url_col))
-    parts = pages.withColumns({"host": host, "path": path})
+    parts = pages.drop("_best").withColumns({"host": host, "path": path})
     labels = F.split("host", "[.]", -1)
     suffixes = F.transform(F.sequence(F.lit(1), F.least(F.size(labels), F.lit(max(depth, 1)))), lambda k: F.array_join(F.slice(labels, -k, k), "."))
     prefixes = F.filter(F.array(*[F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in lengths] or [F.lit("")]), lambda x: x.isNotNull())
@@ -79,9 +79,9 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", url_col: s
     keyed = rules.withColumn("rule_full", digest(F.col("rule_host"), F.col("rule_path"))).withColumn("short", F.substring("rule_full", 1, PREFIX_HEX))
     hits = expressions.join(F.broadcast(keyed) if n_rules <= BROADCAST_RULES else keyed, "short").where(F.col("full") == F.col("rule_full"))
     text = F.concat("rule_host", "rule_path")
-    best = hits.groupBy("host", "path").agg(F.max(F.struct(F.length(text).alias("n"), text.alias("rule"), F.col("rule_verdict").alias("verdict"))).alias("best"))
+    best = hits.groupBy("host", "path").agg(F.max(F.struct(F.length(text).alias("n"), text.alias("rule"), F.col("rule_verdict").alias("verdict"))).alias("_best"))
     out = parts.join(best, ["host", "path"], "left")
-    return out.withColumn("rule", F.col("best.rule")).withColumn("verdict", F.coalesce("best.verdict", F.lit(default))).drop("best")
+    return out.withColumn("rule", F.col("_best.rule")).withColumn("verdict", F.coalesce("_best.verdict", F.lit(default))).drop("_best")
 
 
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
