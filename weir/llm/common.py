@@ -70,12 +70,12 @@ def ship(spark: SparkSession) -> None:
     context._weir_shipped = True
 
 
-def map_rows(df: DataFrame, fn: Callable[..., dict[str, list]], schema: StructType | str, **kept) -> DataFrame:
+def map_rows(df: DataFrame, fn: Callable[..., dict[str, list]], schema: StructType | str, batch_rows: int = 1000) -> DataFrame:
     """mapInArrow over small batches. fn gets one column list for each column of df and
     returns one list for each field of schema; it holds one batch at a time."""
     spark = df.sparkSession
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch_rows))
     if isinstance(schema, str):
         schema = StructType.fromDDL(schema)
     from pyspark.sql.pandas.types import to_arrow_schema

@@ -16,10 +16,15 @@ empty result. Repeated rows are each packed. Extra columns are ignored.
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
+from array import array
 from bisect import bisect_left, insort
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,7 +33,10 @@ from weir.llm.common import map_rows, materialize, read_table, text_bytes
 CAPACITY = 4096
 END_ID = 1
 SALTS = 32
-MEMO = 150_000
+MEMO = 300_000
+#: Letters that no normalization changes but for case, and ASCII punctuation without the
+#: apostrophe: the pre-tokenizer cuts between the two.
+PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-&(-/:-@\[-`{-~]*)")
 
 
 def public_tokenizer() -> str:
@@ -37,38 +45,73 @@ def public_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable Latin-1
+    characters for themselves, the others in order from 256 on."""
+    kept = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
+    return {b: chr(b) for b in kept} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in kept)}
+
+
 class Encoder:
-    """Token ids as little-endian bytes. The pre-tokenizer of the vocabulary never joins
-    characters across ASCII white space, so runs of other characters are encoded one by
-    one and remembered, in two generations of at most `memo` entries."""
+    """Token ids of many texts at once.
+
+    The pre-tokenizer of the vocabulary never joins characters across ASCII white space,
+    so texts are split there, and each distinct run of other characters is encoded once a
+    batch and remembered in two generations of at most `memo` entries. A run of plain
+    letters with plain punctuation behind it needs no normalization but for case, and its
+    halves go to the tokenizer's model at once; any other run goes through all of it.
+    """
 
     def __init__(self, path: str, memo: int = MEMO):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # one core for each task
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.memo, self.young, self.old = Tokenizer.from_file(path), memo, {}, {}
-
-    def encode(self, text: bytes) -> bytes:
-        words = text.split()
-        young, old = self.young, self.old
-        out = [young.get(w) for w in words]
-        if None in out:
-            missing = []
-            for i, x in enumerate(out):
-                if x is None:
-                    x = old.get(words[i])
-                    if x is None:
-                        missing.append(words[i])
-                    else:
-                        young[words[i]] = x
-            missing = list(dict.fromkeys(missing))
-            for i in range(0, len(missing), 4096):
-                part = missing[i : i + 4096]
-                for w, e in zip(part, self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False)):
-                    young[w] = np.array(e.ids, "<u4").tobytes()
-            out = [young[w] for w in words]
-            if len(young) > self.memo:
-                self.young, self.old = {}, young
-        return b"".join(out)
+        self.tokenizer, self.memo = Tokenizer.from_file(path), memo
+        self.model, self.letters = self.tokenizer.model, byte_letters()
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _one(self, run: str) -> bytes:
+        m = PLAIN.fullmatch(run)
+        if m is None:
+            ids = self.tokenizer.encode(run, add_special_tokens=False).ids
+        else:
+            ids = []
+            for half in m.groups():
+                if half:
+                    half = half.lower()
+                    if not half.isascii():
+                        half = half.encode().decode("latin-1").translate(self.letters)
+                    ids += [t.id for t in self.model.tokenize(half)]
+        return array("I", ids).tobytes()
+
+    def words(self, vocabulary: list[str]) -> list[bytes]:
+        """Ids of each run of characters."""
+        if len(self.young) > self.memo:
+            self.young, self.old = {}, self.young
+        young, old, one, out = self.young, self.old, self._one, []
+        for w in vocabulary:
+            found = young.get(w)
+            if found is None:
+                found = old.get(w)
+                young[w] = found = one(w) if found is None else found
+            out.append(found)
+        return out
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in a row, and where each text's begin and end."""
+        split = pc.ascii_split_whitespace(texts)
+        flat = split.flatten().dictionary_encode()
+        bounds = split.offsets.to_numpy() - split.offsets[0].as_py()
+        parts = self.words(flat.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        ids = np.frombuffer(b"".join(parts), "<u4")
+        begins = np.concatenate(([0], np.cumsum(sizes)))
+        codes = flat.indices.to_numpy()
+        n = sizes[codes]
+        upto = np.concatenate(([0], np.cumsum(n)))
+        at = np.repeat(begins[codes] - upto[:-1], n) + np.arange(upto[-1])
+        return ids[at], upto[bounds]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -87,17 +130,17 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
     step = 4 * capacity
 
     def fn(ids, texts):
-        found = encoder(tokenizer)
+        all_ids, bounds = encoder(tokenizer).encode(pa.array(texts, pa.large_binary()).cast(pa.large_string()))
         out = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32", "ids")}
-        for doc, text in zip(ids, texts):
-            data = found.encode(text) + end
+        for doc, a, b in zip(ids, bounds[:-1].tolist(), bounds[1:].tolist()):
+            data = all_ids[a:b].tobytes() + end
             for n, at in enumerate(range(0, len(data), step)):
                 part = data[at : at + step]
                 for k, v in zip(out, (doc, n, at // 4, len(part) // 4, zlib.crc32(part), part if with_ids else None)):
                     out[k].append(v)
         return out
 
-    return map_rows(rows, fn, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint" + (", ids binary" if with_ids else ""))
+    return map_rows(rows, fn, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint" + (", ids binary" if with_ids else ""), batch_rows=4000)
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int]]:
