@@ -37,27 +37,33 @@ def matrix(rows: list, width: int) -> np.ndarray:
 
 def threshold_topk(x: np.ndarray, ids: np.ndarray, order: np.ndarray, q: np.ndarray, own: int, k: int = K) -> list[tuple[int, int]]:
     """(score, id) of the k best, by score and then smaller id. order: the rows by each
-    dimension, ascending."""
-    dims = np.flatnonzero(q)
+    dimension, ascending; a dimension is read from the end that its component favours."""
+    up, down = np.flatnonzero(q < 0), np.flatnonzero(q > 0)
     n = len(x)
-    if not len(dims):
-        dims = np.array([0])
-    lists = np.where(q[dims] > 0, order[::-1, dims], order[:, dims])
-    seen = np.zeros(n, bool)
+    fresh = np.ones(n, bool)
     scores, found = np.empty(0), np.empty(0, np.int64)
     depth = 0
     while depth < n:
-        to = min(n, max(depth + STEP, 2 * depth))
-        met = np.unique(lists[depth:to])
-        met = met[~seen[met]]
-        seen[met] = True
-        met = met[ids[met] != own]
-        scores, found = np.concatenate((scores, x[met] @ q)), np.concatenate((found, met))
+        to = min(n, max(depth + STEP, 2 * depth)) if len(up) + len(down) else n
+        met = np.zeros(n, bool) if len(up) + len(down) else np.ones(n, bool)
+        met[order[depth:to, up]] = True
+        met[order[n - to : n - depth, down]] = True
+        met &= fresh
+        fresh &= ~met
+        at = np.flatnonzero(met)
+        at = at[ids[at] != own]
+        got = x[at] @ q if 2 * len(at) < n else (x @ q)[at]
+        if len(scores) == k:
+            may = got >= scores[-1]
+            at, got = at[may], got[may]
+        scores, found = np.concatenate((scores, got)), np.concatenate((found, at))
         best = np.lexsort((ids[found], -scores))[:k]
         scores, found = scores[best], found[best]
         depth = to
-        if len(found) == k and scores[-1] > float(q[dims] @ x[lists[depth - 1], dims]):
-            break
+        if len(found) == k and len(up) + len(down):
+            bound = q[up] @ x[order[depth - 1, up], up] + q[down] @ x[order[n - depth, down], down]
+            if scores[-1] > bound:
+                break
     return [(int(s), int(ids[i])) for s, i in zip(scores, found)]
 
 
@@ -73,7 +79,7 @@ def search_block(queries: list, query_ids: np.ndarray, rows: list, ids: np.ndarr
     width = max(map(len, [*rows, *queries]))
     x, q = matrix(rows, width), matrix(queries, width)
     safe = width * np.abs(x).max(initial=0) * np.abs(q).max(initial=0) < 2**53
-    order = np.argsort(x, axis=0, kind="stable") if safe else None
+    order = np.argsort(x, axis=0, kind="stable").astype(np.int32) if safe else None
     out = []
     for i, own in enumerate(query_ids.tolist()):
         best = threshold_topk(x, ids, order, q[i], own, k) if safe else exact_topk(x, ids, q[i], own, k)
