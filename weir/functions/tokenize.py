@@ -31,7 +31,7 @@ RT_EVENT = r"RT_FLOW_SESSION_(CREATE|DENY|CLOSE)\s*:\s*session\s+(?:created|deni
 RT_TAILS = {
     "CREATE": rf"\s*{FLOW}(?:\s+\S+){{6}}\s+(\d+)\b",
     "DENY": rf"\s*{FLOW}\s+\S+\s+(\d+)\(\d+\)",
-    "CLOSE": rf".*?:\s*{FLOW}(?:\s+\S+){{5}}\s+(\d+)\b",
+    "CLOSE": rf".*?:\s*{FLOW}(?:\s+\S+){{4}}\s+(\d+)\b",
 }
 ROUTER = (
     r"\A(?:<(\d{1,3})>)?((?:[A-Za-z]{3}/\d{1,2}|[A-Z][a-z]{2}\s+\d{1,2})\s+\d{2}:\d{2}:\d{2})(?:\s+((?!firewall\b)\S+))?"
