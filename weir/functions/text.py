@@ -53,8 +53,24 @@ def keys_of(*columns: Column) -> Column:
 
 
 def quote(c: Column) -> Column:
-    """A string as JSON text."""
-    return F.regexp_extract(F.to_json(F.array(c)), r"(?s)\A\[(.*)\]\z", 1)
+    """A string as JSON text; only one that needs escapes goes through the JSON writer."""
+    escaped = F.to_json(F.array(c))
+    return F.when(c.rlike(r'["\\\x00-\x1f]'), F.substring(escaped, F.lit(2), F.length(escaped) - 2)).otherwise(F.concat(F.lit('"'), c, F.lit('"')))
+
+
+SPLIT = "\ue001"
+
+
+def groups(c: Column, pattern: str, n: int) -> Column:
+    """All n groups of a pattern that matches c from its start, as an array after one
+    match; absent groups are empty. Only for values that match."""
+    parts = SPLIT.join(f"${i}" for i in range(1, n + 1))
+    return F.split(F.regexp_replace(c, FLAGS + pattern + r"(?s:.*)\z", parts), SPLIT, -1)
+
+
+def item(array: Column, n: int) -> Column:
+    """The nth entry, from 1; NULL if empty."""
+    return empty_to_null(F.try_element_at(array, F.lit(n)))
 
 
 def quoted(m: Column) -> Column:

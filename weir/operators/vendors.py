@@ -9,10 +9,10 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weir.functions.text import as_text, get, group, keys_of, matches, pairs, quote, quoted, whole_number, without
+from weir.functions.text import as_text, get, groups, item, keys_of, matches, pairs, quote, quoted, whole_number, without
 from weir.plans.mappings import Mapping
 from weir.plans.schema import column_of, parsed
 
@@ -28,11 +28,30 @@ SSHD = r"\A<(\d+)>(\w+\s+\d+\s+\d{2}:\d{2}:\d{2})\s+(\S+)\s+sshd\[(\d+)\]:\s+(Fa
 
 @dataclass(frozen=True)
 class Line:
-    """Columns of a record that parsers read; kv and json are NULL where they do not apply."""
+    """Columns of a record that parsers read, each NULL where it does not apply: the pairs
+    of a kv line or a CEF extension, the JSON object, and the groups of the header
+    grammars, all extracted once."""
 
     text: Column
     kv: Column
     json: Column
+    cef: Column
+    asa: Column
+    body: Column
+    sshd: Column
+
+
+def staged(df: DataFrame, text: str) -> tuple[DataFrame, Line]:
+    """df with the columns of a Line; it has `fmt` and `_json` already."""
+    line, fmt = F.col(text), F.col("fmt")
+    found = lambda is_, pattern, n, c=line: F.when(is_ & matches(c, pattern), groups(c, pattern, n))
+    df = df.withColumns({"_cef": found(fmt == "cef", CEF, 8), "_asa": found(fmt == "syslog", ASA, 6), "_sshd": found(fmt == "syslog", SSHD, 9)})
+    body = F.try_element_at("_asa", F.lit(6))
+    df = df.withColumns({"_body": found(F.col("_asa").isNotNull(), ASA_BODY, 9, body), "_kv": F.when(fmt == "kv", pairs(line, KV)).when(F.col("_cef").isNotNull(), pairs(F.try_element_at("_cef", F.lit(8)), KV))})
+    return df, Line(line, *[F.col(c) for c in STAGED])
+
+
+STAGED = ("_kv", "_json", "_cef", "_asa", "_body", "_sshd")
 
 
 @dataclass(frozen=True)
@@ -83,8 +102,8 @@ def renamed(m: Column, mapping: Mapping) -> tuple[dict[str, Column], Column]:
 
 
 def cef(line: Line, mapping: Mapping) -> Column:
-    at = lambda n: F.regexp_extract(line.text, "(?dU)" + CEF, n)
-    m = pairs(at(8), KV)
+    at = lambda n: F.try_element_at(line.cef, F.lit(n))
+    m = line.kv
     got, used = renamed(m, mapping)
     severity = at(7)
     is_int = severity.rlike(r"\A\d+\z")
@@ -93,7 +112,7 @@ def cef(line: Line, mapping: Mapping) -> Column:
         "event_severity": F.when(is_int, severity.try_cast("decimal(38,0)").cast("string")).otherwise(severity),
         "unmapped": F.map_concat(F.create_map(F.lit("version"), quote(at(1)), F.lit("device_version"), quote(at(4)), F.lit("signature_id"), quote(at(5))), quoted(without(m, used))),
     }
-    return F.when(matches(line.text, CEF), with_defaults(mapping, got))
+    return F.when(line.cef.isNotNull(), with_defaults(mapping, got))
 
 
 def checkpoint(line: Line, mapping: Mapping) -> Column:
@@ -114,26 +133,25 @@ def fortigate(line: Line, mapping: Mapping) -> Column:
 
 
 def cisco_asa(line: Line, mapping: Mapping) -> Column:
-    head = lambda n: group(line.text, ASA, n)
-    body = lambda n: group(F.regexp_extract(line.text, "(?dU)" + ASA, 6), ASA_BODY, n)
+    head = lambda n: item(line.asa, n)
+    body = lambda n: item(line.body, n)
     got = {
         "timestamp": head(2), "observer_name": head(3), "event_severity": head(4), "event_description": head(6),
         "network_src_ip": body(5), "network_src_port": body(6).try_cast("int"), "network_dst_ip": body(7), "network_dst_port": body(8).try_cast("int"),
         "network_transport": F.lower(body(3)), "user_name": body(9),
         "unmapped": F.create_map(F.lit("connection_id"), quote(body(4)), F.lit("direction"), quote(body(2)), F.lit("message_id"), quote(head(5)), F.lit("pri"), quote(head(1))),
     }
-    claim = matches(line.text, ASA) & matches(F.regexp_extract(line.text, "(?dU)" + ASA, 6), ASA_BODY)
-    return F.when(claim, with_defaults(mapping, got, body(1)))
+    return F.when(line.body.isNotNull(), with_defaults(mapping, got, body(1)))
 
 
 def sshd(line: Line, mapping: Mapping) -> Column:
-    at = lambda n: group(line.text, SSHD, n)
+    at = lambda n: item(line.sshd, n)
     got = {
         "timestamp": at(2), "observer_name": at(3), "user_name": at(6), "network_src_ip": at(7), "network_dst_port": at(8).try_cast("int"),
         "event_description": F.regexp_replace(line.text, r"(?s)\A.*?: ", ""),
         "unmapped": F.create_map(F.lit("pid"), quote(at(4)), F.lit("pri"), quote(at(1)), F.lit("method"), quote(F.coalesce(at(9), F.lit("")))),
     }
-    return F.when(matches(line.text, SSHD), with_defaults(mapping, got, at(5)))
+    return F.when(line.sshd.isNotNull(), with_defaults(mapping, got, at(5)))
 
 
 def suricata(line: Line, mapping: Mapping) -> Column:

@@ -7,11 +7,11 @@ from datetime import datetime, timezone
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weir.functions.text import empty_to_null, fence, pairs, strict_object
+from weir.functions.text import empty_to_null, fence, strict_object
 from weir.operators.detect import detect_format, vendor_hints
 from weir.operators.dynamic import DynamicConfig, add_dynamic
 from weir.operators.generic import generic
-from weir.operators.vendors import KV, VENDORS, Line, ParserSpec
+from weir.operators.vendors import STAGED, VENDORS, ParserSpec, staged
 from weir.plans.mappings import BUILT_IN, Mapping
 from weir.plans.schema import EVENT_KEYS, OUTCOMES, PARSED, column_of, failed
 from weir.session import configure
@@ -37,7 +37,7 @@ def raw_rows(df: DataFrame) -> DataFrame:
 
 
 def parse(df: DataFrame, text: str = "raw_text", mappings: dict[str, Mapping] | None = None, parsers: tuple[ParserSpec, ...] = VENDORS, dynamic: tuple[DynamicConfig, ...] = ()) -> DataFrame:
-    """df with `fmt`, `hints` and the struct `parsed`: the first parser of the line's
+    """df with `fmt`, `hints` (where no parser claims the line) and the struct `parsed`: the first parser of the line's
     format that claims it, dynamic configs after the built-in ones, then the fallback,
     then a failed event. Each step is a projection; nothing moves between rows."""
     configure(df.sparkSession)
@@ -45,9 +45,7 @@ def parse(df: DataFrame, text: str = "raw_text", mappings: dict[str, Mapping] |
     line = F.col(text)
     df = df.withColumn("_json", F.when(line.startswith("{"), strict_object(line)))
     df = df.withColumn("fmt", detect_format(line, F.col("_json")))
-    df = df.withColumn("hints", vendor_hints(line, F.col("fmt"), F.col("_json")))
-    df = df.withColumn("_kv", F.when(F.col("fmt") == "kv", pairs(line, KV)))
-    cols = Line(line, F.col("_kv"), F.col("_json"))
+    df, cols = staged(df, text)
     branches: dict[str, list[Column]] = {}
     for spec in parsers:
         branches.setdefault(spec.format, []).append(spec.build(cols, mappings.get(spec.name, Mapping())))
@@ -56,8 +54,9 @@ def parse(df: DataFrame, text: str = "raw_text", mappings: dict[str, Mapping] |
     df = add_dynamic(df, text, dynamic, claimed=F.col("_vendor").isNotNull(), out="_dynamic")
     taken = F.coalesce(F.col("_vendor"), F.col("_dynamic"))
     df = df.withColumn("_taken", taken)
+    df = df.withColumn("hints", F.when(F.col("_taken").isNull(), vendor_hints(line, F.col("fmt"), F.col("_json"))))
     df = generic(df, text, F.col("_taken").isNull(), "hints", "_generic")
-    return df.withColumn("parsed", fence(F.coalesce("_taken", "_generic", failed()))).drop("_json", "_kv", "_vendor", "_dynamic", "_taken", "_generic")
+    return df.withColumn("parsed", fence(F.coalesce("_taken", "_generic", failed()))).drop(*STAGED, "_vendor", "_dynamic", "_taken", "_generic")
 
 
 def event_columns(df: DataFrame) -> DataFrame:
