@@ -141,10 +141,14 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR, with_
     cuts = materialize(map_rows(source, cut, f"doc_id bigint, tkey bigint, n_words bigint, sha string, {lists}"), "runs")
     every = cuts.where("doc_id is not null").select("doc_id", "tkey", F.inline(F.arrays_zip("start", "n", "anchor", "h1", "h2")))
     met = cuts.where("doc_id is not null").select("doc_id", F.explode("anchor").alias("anchor")).groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor")
+    # What is aggregated is stored before it is joined: Spark splits a skewed key of a join
+    # only where both sides come straight from an exchange.
+    met = materialize(met, "met")
     repeated = materialize(every.join(met, "anchor"), "repeats")
 
-    content = repeated.groupBy("anchor", "h1", "h2").agg(F.min("doc_id").alias("m"))
+    content = materialize(repeated.groupBy("anchor", "h1", "h2").agg(F.min("doc_id").alias("m")), "content")
     mixed = content.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("anchor", F.lit(True).alias("mixed"))
+    mixed = materialize(mixed, "mixed")
     first = content.join(mixed, "anchor", "left")
     marks = materialize(repeated.join(first, ["anchor", "h1", "h2"]).where("doc_id > m or mixed").select("doc_id", "tkey", "start", "n", (F.col("doc_id") > F.col("m")).alias("gone")), "marks")
 
@@ -160,6 +164,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR, with_
     hashed = materialize(map_rows(source.join(asked, ["doc_id", "tkey"]).select("doc_id", "tkey", "text", "ranges"), alone, "doc_id bigint, tkey bigint, start array<int>, w1 array<bigint>, w2 array<bigint>"), "windows")
     single = hashed.select("doc_id", "tkey", F.inline(F.arrays_zip("start", "w1", "w2")))
     again = single.groupBy("w1", "w2").agg(F.min("doc_id").alias("m"), F.max("doc_id").alias("x")).where("m < x").select("w1", "w2", "m")
+    again = materialize(again, "again")
     gone = single.join(again, ["w1", "w2"]).where("doc_id > m").select("doc_id", "tkey", F.struct("start", (F.col("start") + window).alias("end")).alias("span"))
     gone = marks.where("gone").select("doc_id", "tkey", F.struct("start", (F.col("start") + F.col("n") + (window - 1)).alias("end")).alias("span")).unionByName(gone)
     spans = gone.groupBy("doc_id", "tkey").agg(F.collect_list("span").alias("spans"))  # of one document
