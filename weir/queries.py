@@ -8,8 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weir.functions.text import get, pairs, strict_object
-from weir.functions.tokenize import tokenize
+from weir.functions.text import fence, get, pairs, strict_object
+from weir.functions.tokenize import flatten_object, quoted_pairs, split_header, strip, tokenize
 from weir.operators import explore, integrity, ocsf, quality
 from weir.operators.detect import detect_format, vendor_hints
 from weir.operators.dynamic import apply_field_map, compile_config
@@ -317,6 +317,55 @@ def field_map_apply(spark, sf_dir):
     return kv.select("event_id", got["network.src_ip"].alias("src_ip"), got["event.action"].alias("action"), got["timestamp"].alias("ts"))
 
 
+def of_events(spark: SparkSession, sf_dir: str, line: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("event_id", f"{line} AS line")
+
+
+@query(rf"""{O.LINES} SELECT event_id, {O._x('^<([0-9]+)>', 1)} AS pri, {O._x('^<[0-9]+>([A-Z][a-z]{2} +[0-9]+ [0-9:]{8})', 1)} AS ts, {O._x('^<[0-9]+>[A-Z][a-z]{2} +[0-9]+ [0-9:]{8} ([^ ]+)', 1)} AS host,
+  {O._x(r'^<[0-9]+>[A-Z][a-z]{2} +[0-9]+ [0-9:]{8} [^ ]+ ([^ :\[\]]+)(?:\[[0-9]+\])?:', 1)} AS app FROM lines WHERE starts_with(line, '<')""")
+def syslog_header(spark, sf_dir):
+    df = lines(spark, sf_dir).where(F.col("line").startswith("<"))
+    head = split_header(strip(F.col("line")))[0]
+    return df.withColumn("h", fence(head)).select("event_id", *[get(F.col("h"), f"syslog_{k}").alias(n) for k, n in (("pri", "pri"), ("timestamp", "ts"), ("host", "host"), ("app", "app"))])
+
+
+_NESTED = """'{"a":{"b":{"c":{"d":{"e":' || event_id || ',"f":{"g":1}}}},"x":"' || event_type || '"},"l":[1,2],"t":true,"n":null,"v":' || (event_id % 7) || '.5}'"""
+
+
+@query(f"SELECT event_id, event_id::VARCHAR AS deep, event_type AS x, 'True' AS t, (event_id % 7) || '.5' AS v, CAST(4 AS INTEGER) AS n_keys FROM events")
+def json_flatten(spark, sf_dir):
+    """Dotted keys five levels deep; lists, nulls and what lies deeper are left out."""
+    m = of_events(spark, sf_dir, _NESTED).withColumn("m", fence(flatten_object(strict_object(F.col("line")))))
+    return m.select("event_id", *[get(F.col("m"), k).alias(n) for k, n in (("a.b.c.d.e", "deep"), ("a.x", "x"), ("t", "t"), ("v", "v"))], F.size("m").alias("n_keys"))
+
+
+_QUOTED = """'k1="v ' || event_type || ' ' || chr(92) || '"' || user_id || chr(92) || '"" k2=' || event_id || ' k3="a' || chr(92) || 'tb" k3="c' || chr(92) || chr(92) || 'n"'"""
+
+
+@query("SELECT event_id, 'v ' || event_type || ' \"' || user_id || '\"' AS k1, event_id::VARCHAR AS k2, 'c' || chr(92) || 'n' AS k3 FROM events")
+def quoted_kv(spark, sf_dir):
+    m = of_events(spark, sf_dir, _QUOTED).withColumn("m", fence(quoted_pairs(F.col("line"))))
+    return m.select("event_id", *[get(F.col("m"), k).alias(k) for k in ("k1", "k2", "k3")])
+
+
+_FLOW = "'<14>Sep  3 09:01:02 edge RT_FLOW: RT_FLOW_SESSION_' || CASE event_id % 3 WHEN 0 THEN 'CREATE: session created ' WHEN 1 THEN 'DENY: session denied ' ELSE 'CLOSE: session closed TCP FIN: ' END || '10.0.0.' || (event_id % 250) || '/' || (1024 + event_id % 9999) || '->10.1.1.1/443 ' || CASE event_id % 3 WHEN 0 THEN '0x0 svc 1.1.1.1/1->2.2.2.2/2 0x0 N/A N/A 6 p z' WHEN 1 THEN 'svc 17(0) a b' ELSE 'svc 1.1.1.1/1->2.2.2.2/2 N/A N/A 1 p' END"
+
+
+@query("SELECT event_id, 'rt_flow' AS mode, '10.0.0.' || (event_id % 250) AS src_ip, (1024 + event_id % 9999)::VARCHAR AS src_port, CASE event_id % 3 WHEN 0 THEN '6' WHEN 1 THEN '17' ELSE '1' END AS protocol, CASE event_id % 3 WHEN 0 THEN 'RT_FLOW_SESSION_CREATE' WHEN 1 THEN 'RT_FLOW_SESSION_DENY' ELSE 'RT_FLOW_SESSION_CLOSE' END AS event FROM events")
+def flow_lines(spark, sf_dir):
+    t = tokenize(of_events(spark, sf_dir, _FLOW), "line", "tokens")
+    return t.select("event_id", "tokens.mode", *[get(F.col("tokens.fields"), k).alias(k) for k in ("src_ip", "src_port", "protocol", "event")])
+
+
+_ROUTER = "'sep/03 09:01:02 firewall,info ' || CASE event_id % 3 WHEN 0 THEN 'drop forward' WHEN 1 THEN 'accept input' ELSE 'forward' END || ': in:ether' || (event_id % 9) || ' out:(unknown 0), ' || CASE WHEN event_id % 2 = 0 THEN 'src-mac 02:00:00:00:00:01, ' ELSE '' END || 'proto TCP (SYN), 10.7.7.' || (event_id % 250) || ':1234->10.8.8.8:443, len ' || (user_id % 1500)"
+
+
+@query("SELECT event_id, 'mikrotik' AS mode, CASE event_id % 3 WHEN 0 THEN 'drop' WHEN 1 THEN 'accept' END AS action, CASE event_id % 3 WHEN 1 THEN 'input' ELSE 'forward' END AS chain, '10.7.7.' || (event_id % 250) AS src_ip, (user_id % 1500)::VARCHAR AS length, CASE WHEN event_id % 2 = 0 THEN '02:00:00:00:00:01' END AS src_mac FROM events")
+def router_lines(spark, sf_dir):
+    t = tokenize(of_events(spark, sf_dir, _ROUTER), "line", "tokens")
+    return t.select("event_id", "tokens.mode", *[get(F.col("tokens.fields"), k).alias(k) for k in ("action", "chain", "src_ip", "length", "src_mac")])
+
+
 _RULES = {"vendor": "Z", "product": "P", "mode": "kv", "field_map": {"network.src_ip": "srcip", "network.dst_ip": "dstip"}, "action_rules": [], "timestamp": {"keys": ["date"], "format": ""}, "category": "network"}
 
 
