@@ -114,6 +114,8 @@ def test_verify_clean_and_tampered(spark, out):
     assert [m["kind"] for m in verify(edited, events)["mismatches"]] == ["raw_hash_mismatch"]
     rehashed = edited.withColumn("raw_hash", F.when(is_sshd, F.sha2(F.col("raw_text").cast("binary"), 256)).otherwise(F.col("raw_hash")))
     assert [m["kind"] for m in verify(rehashed, events)["mismatches"]] == ["event_hash_mismatch"]
+    joined = quality.build_report(events.withColumn("source_file", F.lit("f")), read_ocsf(spark, f"{out[0]}/ocsf.jsonl"))["overall"]
+    assert {k: v for k, v in joined.items() if k != "top_unmapped_keys"} == {k: v for k, v in out[1]["overall"].items() if k != "top_unmapped_keys"}
     assert [m["kind"] for m in verify(raw.where(~is_sshd), events)["mismatches"]] == ["missing_raw_id"]
     assert verify(read_raw(spark, "/nowhere/raw.jsonl"), read_events(spark, "/nowhere/e"))["ok"]
 

@@ -8,6 +8,8 @@ from datetime import datetime, timezone
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weir.operators.ocsf import disposition, event_time
+
 
 def percent(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, F.bround(part / whole * 100, 2)).otherwise(0.0)
@@ -23,8 +25,20 @@ def core_fields(o: str = "") -> Column:
 CORE_FIELDS = 6
 
 
+def grade(events: DataFrame, year: int | None = None) -> DataFrame:
+    """Rows (grp, status, core, keys, seq) from events alone: what the OCSF projection
+    would hold is computed in the same pass, so nothing is joined."""
+    c = F.col
+    y = F.lit(year) if year else F.year(F.current_timestamp())
+    seen = events.withColumns({
+        "time": event_time(c("timestamp"), c("provenance_ingest_time"), y), "action": c("event_action"), "disposition": disposition(c("parse_status"), c("event_outcome"), 1),
+        "src_endpoint": F.struct(c("network_src_ip").alias("ip")), "dst_endpoint": F.struct(c("network_dst_ip").alias("ip")), "connection_info": F.struct(c("network_transport").alias("protocol_name")),
+    })
+    return seen.select(F.coalesce("observer_vendor", "source_file").alias("grp"), c("parse_status").alias("status"), core_fields().alias("core"), F.map_keys("unmapped").alias("keys"), "source_file", "seq")
+
+
 def graded(events: DataFrame, ocsf: DataFrame) -> DataFrame:
-    """Rows (grp, status, core, keys, seq) from events and their OCSF records."""
+    """The same rows from stored events and their stored OCSF records, joined by id."""
     o = ocsf.select(F.col("metadata.raw_event_id").alias("_id"), core_fields().alias("core"))
     e = events.select(F.col("event_id").alias("_id"), F.coalesce("observer_vendor", "source_file").alias("grp"), F.col("parse_status").alias("status"), F.map_keys("unmapped").alias("keys"), "source_file", "seq")
     return e.join(o, "_id")
@@ -80,9 +94,9 @@ def report_of(groups: DataFrame, keys: DataFrame, k: int = 5) -> dict:
     return {"generated_at": datetime.now(timezone.utc).isoformat(), "overall": whole[0] if whole else empty, "sources": {r.grp: body(r) for r in sorted((r for r in found if not r.overall), key=lambda r: r.grp or "")}}
 
 
-def build_report(events: DataFrame, ocsf: DataFrame, k: int = 5) -> dict:
-    """The report as a document."""
-    return report_of(*partials(graded(events, ocsf)), k)
+def build_report(events: DataFrame, ocsf: DataFrame | None = None, k: int = 5, year: int | None = None) -> dict:
+    """The report as a document, from events alone or with their OCSF records."""
+    return report_of(*partials(grade(events, year) if ocsf is None else graded(events, ocsf)), k)
 
 
 def report_json(report: dict) -> str:

@@ -34,7 +34,7 @@ def run(spark: SparkSession, source: str, target: str, ingest_time: str | None =
         write_lines(raw, raw_json(), f"{target}/raw.jsonl")
         write_lines(events, event_json(), f"{target}/events.jsonl")
         write_lines(ocsf, ocsf_json(), f"{target}/ocsf.jsonl")
-        report = build_report(events, ocsf)
+        report = build_report(events, year=year)
     finally:
         events.unpersist()
     write_text(spark, f"{target}/quality.json", report_json(report))

@@ -168,13 +168,7 @@ def ocsf_flat(spark, sf_dir):
 
 def graded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of the quality report, graded in the same pass that parses them."""
-    e = normalize(records(spark, sf_dir), O.INGEST)
-    c = F.col
-    core = e.withColumns({
-        "time": ocsf.event_time(c("timestamp"), c("provenance_ingest_time"), F.lit(O.YEAR)), "action": c("event_action"), "disposition": ocsf.disposition(c("parse_status"), c("event_outcome"), 1),
-        "src_endpoint": F.struct(c("network_src_ip").alias("ip")), "dst_endpoint": F.struct(c("network_dst_ip").alias("ip")), "connection_info": F.struct(c("network_transport").alias("protocol_name")),
-    })
-    return core.select(F.coalesce("observer_vendor", "source_file").alias("grp"), c("parse_status").alias("status"), quality.core_fields().alias("core"), F.map_keys("unmapped").alias("keys"), "source_file", "seq")
+    return quality.grade(normalize(records(spark, sf_dir), O.INGEST), O.YEAR)
 
 
 _PCT = "round_even({0} / count(*) * 100, 2)"

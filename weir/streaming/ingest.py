@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weir.operators.ocsf import to_ocsf
-from weir.operators.quality import graded, partials, report_json, report_of
+from weir.operators.quality import grade, partials, report_json, report_of
 from weir.plans.normalize import event_columns, parse, raw_rows, with_identity
 from weir.sources.files import write_text
 from weir.sources.jsonl import event_json, ocsf_json, raw_json, write_lines
@@ -41,7 +41,7 @@ def write_batch(batch: DataFrame, batch_id: int, target: str, **options) -> None
         ocsf = to_ocsf(events, year)
         for name, df, line in (("raw", raw_rows(identified), raw_json()), ("events", events, event_json()), ("ocsf", ocsf, ocsf_json())):
             write_lines(df, line, f"{target}/{name}.jsonl/batch={batch_id}")
-        for name, df in zip(("groups", "keys"), partials(graded(events, ocsf))):
+        for name, df in zip(("groups", "keys"), partials(grade(events, year))):
             df.coalesce(1).write.mode("overwrite").parquet(f"{target}/_quality/{name}/batch={batch_id}")
     finally:
         identified.unpersist()
