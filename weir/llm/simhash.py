@@ -89,22 +89,24 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node with an edge; root is the least node it reaches.
 
     Large-star and small-star rounds: each ends in a checkpoint, and the number of rounds
-    grows with the logarithm of a component's size.
+    grows with the logarithm of a component's size. Minima are checkpointed before they are
+    joined, so the join reads two exchanges and Spark can split a node of many edges.
     """
     shared_dir(edges.sparkSession)
+    digest = (F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h"))
     edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct().checkpoint()
+    last = edges.agg(*digest).first()
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")).checkpoint()
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        low = large.groupBy("a").agg(F.min("b").alias("m")).checkpoint()
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
-        new = small.distinct().checkpoint()
-        fixed = new.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-        last = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-        edges = new
-        if fixed == last:
+        edges = small.distinct().checkpoint()
+        now = edges.agg(*digest).first()
+        if now == last:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        last = now
 
 
 def group_by_fingerprint(prints: DataFrame) -> DataFrame:
