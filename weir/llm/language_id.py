@@ -8,7 +8,8 @@ or if the runner-up needs hardly more bytes.
 
 The sample: at most `docs_per_lang` texts of a language, the ones lowest by a hash of id
 and text, and `dict_bytes` of them. All else reads every text whole. Null and letterless
-texts get "und" and score 0; with no labelled text at all, so does every text. Ties
+texts get "und" and score 0 and are rejected; with no labelled text at all every text gets
+"und", but those with letters are not rejected. Ties
 go to the language with more labelled rows, then the lesser name.
 """
 
@@ -47,18 +48,19 @@ class Model:
 
     def encoders(self):
         if self._encoders is None:
-            params = zstandard.ZstdCompressionParameters.from_level(self.level, min_match=3, strategy=zstandard.STRATEGY_BTLAZY2, write_content_size=False, write_checksum=False, write_dict_id=False)
             self._encoders = []
             for lang, content in self.dictionaries.items():
+                # Tables are sized for a block and its dictionary: 1 MB for each language, not 14.
+                params = zstandard.ZstdCompressionParameters.from_level(self.level, source_size=self.block + 1, dict_size=len(content), min_match=3, strategy=zstandard.STRATEGY_BTLAZY2, write_content_size=False, write_checksum=False, write_dict_id=False)
                 d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
                 self._encoders.append((lang, zstandard.ZstdCompressor(dict_data=d, compression_params=params).compress))
         return self._encoders
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """Language, score in 0 to 1, and whether the margin is too narrow to trust."""
-        data = letters(text) if text else b""
+        data = letters(text) if text and any(map(str.isalpha, text)) else b""
         if not data or not self.dictionaries:
-            return UND, 0.0, True
+            return UND, 0.0, not data
         blocks = [b" " + data[i : i + self.block] for i in range(0, len(data), self.block)]
         sizes = [sum(map(len, map(encode, blocks))) for _, encode in self.encoders()]
         order = sorted(range(len(sizes)), key=sizes.__getitem__)
