@@ -53,7 +53,7 @@ class Novelty:
     """Compressor primed with the identifier dictionary."""
 
     def __init__(self, identifiers: bytes = IDENTIFIERS, level: int = LEVEL):
-        params = zstandard.ZstdCompressionParameters.from_level(level, write_content_size=False, write_checksum=False, write_dict_id=False)
+        params = zstandard.ZstdCompressionParameters.from_level(level, source_size=4 * AROUND, dict_size=len(identifiers), write_content_size=False, write_checksum=False, write_dict_id=False)
         self.compress = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(identifiers, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=params).compress
 
     def cost(self, before: str, candidate: str, after: str) -> float:
