@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weir.llm.common import read_table
+from weir.llm.common import materialize, read_table
 
 PREFIX_HEX = 8
 BROADCAST_RULES = 100_000
@@ -80,6 +80,9 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", url_col: s
     hits = expressions.join(F.broadcast(keyed) if n_rules <= BROADCAST_RULES else keyed, "short").where(F.col("full") == F.col("rule_full"))
     text = F.concat("rule_host", "rule_path")
     best = hits.groupBy("host", "path").agg(F.max(F.struct(F.length(text).alias("n"), text.alias("rule"), F.col("rule_verdict").alias("verdict"))).alias("_best"))
+    # Stored, so that a (host, path) of many pages can be split in the join; merged, because
+    # the matches grow with the pages and are no side to broadcast.
+    best = materialize(best, "best-rules").hint("merge")
     out = parts.join(best, ["host", "path"], "left")
     return out.withColumn("rule", F.col("_best.rule")).withColumn("verdict", F.coalesce("_best.verdict", F.lit(default))).drop("_best")
 
