@@ -61,7 +61,16 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.selectExpr("event_id", f"{SOURCE} AS source_file", f"{spark_line()} AS line")
 
 
-def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """df over all cores: parsing costs far more than its bytes suggest, so a table in
+    fewer partitions than there are cores is dealt out by key first. Larger ones are left
+    as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
+def records(spark: SparkSession, sf_dir: str, deal: bool = False) -> DataFrame:
     from weir.sources.records import records_of
 
-    return records_of(lines(spark, sf_dir).withColumn("seq", F.col("event_id")))
+    found = lines(spark, sf_dir)
+    return records_of((dealt(found, "event_id") if deal else found).withColumn("seq", F.col("event_id")))

@@ -17,7 +17,8 @@ from weir.operators.generic import ips, outcome, scanned_action, scanned_time
 from weir.operators.vendors import KV
 from weir.plans import oracle as O
 from weir.plans.normalize import normalize, with_identity
-from weir.plans.rendered import lines, records
+from weir.plans import rendered
+from weir.plans.rendered import dealt, lines
 from weir.session import configure
 from weir.sources.export import collector_time, doc_id
 from weir.sources.records import frame_lines
@@ -39,6 +40,10 @@ def query(sql: str | None = None):
     return add
 
 
+def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rendered.records(spark, sf_dir, deal=True)
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalize(records(spark, sf_dir), O.INGEST).withColumnRenamed("seq", "n")
 
@@ -282,7 +287,7 @@ def jsonl_round_trip(spark, sf_dir):
 
 
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokenize(lines(spark, sf_dir), "line", "tokens")
+    return tokenize(dealt(lines(spark, sf_dir), "event_id"), "line", "tokens")
 
 
 _HEAD = r"regexp_matches(line, '^<\d{1,3}>')"
