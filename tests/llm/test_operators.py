@@ -354,6 +354,37 @@ def test_near_duplicates_at_0_8(spark):
                 assert got[i] != got[j] or i == j, (i, j, s)
 
 
+def brute_near(made, similarity=0.8):
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.split() for t in made)]
+    root = list(range(len(made)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            common = len(a & sets[j])
+            if root[i] != root[j] and common >= similarity * (len(a) + len(sets[j]) - common):
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    return dict(enumerate(root))
+
+
+def test_near_duplicates_of_stars(spark):
+    """Originals that are similar to each copy, whose copies are less so to each other."""
+    rnd = random.Random(11)
+    word = lambda: "w" + str(rnd.randint(0, 50000))
+    made = []
+    for edits in (3, 3, 3):
+        base = [word() for _ in range(200)]
+        star = [base]
+        for _ in range(80):
+            w = list(base)
+            for at in rnd.sample(range(5, 195), edits):
+                w[at] = word()
+            star.append(w)
+        made += [" ".join(w) for w in star]
+    rnd.shuffle(made)
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs_of(spark, made)).collect()}
+    assert got == brute_near(made)
+
+
 def test_languages(spark):
     sf = "/root/testdata/sf0.01"
     truth = {r[0]: (r[1], r[2]) for r in duckdb.sql(f"select doc_id, text, lang from '{sf}/documents.parquet'").fetchall()}

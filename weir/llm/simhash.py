@@ -125,18 +125,44 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-WIDE, SKETCH, SLACK, FILTER_BITS = 4, 12, 0.15, 1 << 25
+WIDE, SLACK, FILTER_BITS = 4, 0.15, 1 << 25
+SAMPLE, COMMON, BLOCK = 16, 1 << 16, 256
 
 
-def wide_features(text: bytes, shingle: int) -> tuple[list[int], list[int]]:
-    """A 256-bit fingerprint, as four words, and the least SKETCH shingle hashes."""
-    h = np.unique(shingle_hashes(text, shingle))
+def set_digest(shingles: np.ndarray) -> int:
+    """The node of a set of shingles, given sorted: equal sets have equal nodes."""
+    return signed(xxhash.xxh64_intdigest(np.ascontiguousarray(shingles, dtype="<u8").tobytes(), SEED))
+
+
+def prefix(shingles: np.ndarray, common: np.ndarray, similarity: float) -> list[int]:
+    """The first shingles of a sorted set in one order of all shingles (rare before
+    common, then by hash), as many as two sets of that similarity must share one of."""
+    n = len(shingles)
+    if not n:
+        return []
+    late = np.isin(shingles, common, assume_unique=True)
+    held = np.concatenate((shingles[~late], shingles[late]))[: n - int(np.ceil(similarity * n - 1e-6)) + 1]
+    return held.view(np.int64).tolist()
+
+
+def wide_print(h: np.ndarray) -> list[int]:
+    """A 256-bit fingerprint of a set of shingles, as four words."""
     words, x = [], h
     for _ in range(WIDE):
         words.append(signed(majority(x)))
         x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
         x = (x ^ (x >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
-    return words, h[:SKETCH].view(np.int64).tolist()
+    return words
+
+
+def common_shingles(rows: DataFrame, shingle: int) -> np.ndarray:
+    """The COMMON most frequent shingles of a sample of the texts, sorted. They only set
+    the order of shingles, which any choice keeps exact: rare ones make small buckets."""
+    part = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0)
+    hashed = map_rows(part, lambda ids, texts: {"h": [np.unique(shingle_hashes(t, shingle)).view(np.int64).tolist() for t in texts]}, "h array<bigint>")
+    counts = hashed.select(F.explode("h").alias("h")).groupBy("h").count().where("count > 2")
+    found = counts.orderBy(F.desc("count"), "h").limit(COMMON).collect()
+    return np.sort(np.array([r.h for r in found], np.int64).view(np.uint64))
 
 
 def far_bits(similarity: float) -> int:
@@ -146,6 +172,11 @@ def far_bits(similarity: float) -> int:
     return round(64 * WIDE * float(np.arccos(cosine)) / float(np.pi))
 
 
+def differing(p: str, q: str, wide: list[str]) -> F.Column:
+    """The bits in which two wide prints differ."""
+    return sum((F.bit_count(F.col(f"{p}.{f}").bitwiseXOR(F.col(f"{q}.{f}"))) for f in wide), F.lit(0))
+
+
 def members(ids: DataFrame, column: str, bits: int = FILTER_BITS) -> np.ndarray:
     """A bitmap of the hashed ids, of `bits` bits whatever their number: a filter without
     false negatives. One row of 4 KB for each 32,768 bits reaches the driver."""
@@ -158,29 +189,36 @@ def members(ids: DataFrame, column: str, bits: int = FILTER_BITS) -> np.ndarray:
     return out
 
 
-def at_least(pairs: DataFrame, rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of ids whose texts have that share of their shingles in common.
+def at_least(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of nodes that have that share of their shingles in common.
 
-    Texts that no pair asks for are left out before the shuffle, and the others travel
-    compressed."""
+    nodes: node and least, an id that holds it. Texts that no pair asks for are left out
+    before the shuffle, and the others travel compressed."""
     asked = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct()
-    held = rows.sparkSession.sparkContext.broadcast(members(asked, "a"))
+    ids = nodes.join(asked, nodes.node == asked.a, "left_semi").select("least")
+    held = rows.sparkSession.sparkContext.broadcast(members(ids, "least"))
 
     def squeeze(ids, texts, at):
         at = np.array(at, np.int64)
         keep = np.flatnonzero(held.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).tolist()
         compress = zstandard.ZstdCompressor(level=3).compress
-        return {"doc_id": [ids[i] for i in keep], "text": [compress(texts[i]) for i in keep]}
+        return {"node": [set_digest(np.unique(shingle_hashes(texts[i], shingle))) for i in keep], "text": [compress(texts[i]) for i in keep]}
 
     hashed = rows.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("at"))
-    texts = materialize(map_rows(hashed, squeeze, "doc_id bigint, text binary").dropDuplicates(["doc_id"]), "asked-texts")
-    both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
+    texts = materialize(map_rows(hashed, squeeze, "node bigint, text binary").dropDuplicates(["node"]), "asked-texts")
+    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
 
     def fn(a, b, ta, tb):
-        keep = []
+        keep, last = [], {}
         text = zstandard.ZstdDecompressor().decompress
-        for i, (x, y) in enumerate(zip(ta, tb)):
-            x, y = np.unique(shingle_hashes(text(x), shingle)), np.unique(shingle_hashes(text(y), shingle))
+
+        def shingles(side, node, packed):
+            if last.get(side, (None,))[0] != node:
+                last[side] = node, np.unique(shingle_hashes(text(packed), shingle))
+            return last[side][1]
+
+        for i in range(len(a)):
+            x, y = shingles(0, a[i], ta[i]), shingles(1, b[i], tb[i])
             common = len(np.intersect1d(x, y, assume_unique=True))
             if common >= similarity * (len(x) + len(y) - common):
                 keep.append(i)
@@ -189,40 +227,74 @@ def at_least(pairs: DataFrame, rows: DataFrame, shingle: int, similarity: float)
     return map_rows(both.select("a", "b", "ta", "tb"), fn, "a bigint, b bigint")
 
 
+def fits(p: str, q: str, similarity: float) -> F.Column:
+    """Whether two sets whose first common shingle is at `pos` of each can be that similar."""
+    common = F.least(F.col(f"{p}.n") - F.col(f"{p}.pos"), F.col(f"{q}.n") - F.col(f"{q}.pos"))
+    return common >= similarity / (1 + similarity) * (F.col(f"{p}.n") + F.col(f"{q}.n")) - 1e-6
+
+
+def open_members(shared: DataFrame, edges: DataFrame, tag: str) -> DataFrame:
+    """The members of buckets that the edges do not yet join to one component: key, p with
+    its root, and the number of members."""
+    roots = materialize(components(edges), "roots")
+    rooted = shared.join(roots, F.col("p.node") == roots.node, "left").select("key", "share", F.struct("p.*", F.coalesce("root", "p.node").alias("root")).alias("p"))
+    spread = rooted.groupBy("key").agg(F.min("p.root").alias("low"), F.max("p.root").alias("high"), F.count(F.lit(1)).alias("size"), F.max(F.struct("share", "p")).alias("lead"))
+    spread = materialize(spread.where("low < high").select("key", "size", F.col("lead.p").alias("lead")), f"{tag}-buckets")
+    return materialize(rooted.join(spread, "key").select("key", "p", "lead", "size"), tag)
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, component_id) at a similarity of word shingles, of each row with an id.
 
-    At 0.8, 64-bit fingerprints of five-word shingles differ in up to 15 bits, beyond what
-    balls within segments can enumerate. So the tables of the multi-index are keyed by the
-    SKETCH least shingle hashes, of which texts at that similarity nearly surely share
-    one; what they fetch is verified by the complete distance of 256-bit fingerprints.
-    In a table's bucket each row is compared with the first and with the one before it,
-    so a bucket of any size costs two rows for each of its own; a text meets its group
-    in up to SKETCH buckets. Texts without words are copies of each other.
+    Texts of equal sets of shingles are one node. A node stands in the bucket of each
+    shingle of its prefix, so nodes at that similarity share a bucket. Three rounds find
+    the links. In the first a member is compared with the bucket's first and with the one
+    before it, in the second with the member that shares most of its prefix, which is the
+    original of a star of copies. The third compares every pair of a bucket that earlier
+    links do not join already, in blocks; so dense groups cost few pairs, and no pair
+    that could add a link goes unseen. Texts without words are copies of each other.
     """
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_bytes(text_col).alias("text")).where("doc_id is not null")
+    common = docs.sparkSession.sparkContext.broadcast(common_shingles(rows, shingle))
+    wide = [f"f{i}" for i in range(WIDE)]
 
     def fn(ids, texts):
-        got = [wide_features(t, shingle) for t in texts]
-        out = {"doc_id": ids, "sketch": [s for _, s in got]}
-        return out | {f"f{i}": [w[i] for w, _ in got] for i in range(WIDE)}
-
-    wide = [f"f{i}" for i in range(WIDE)]
-    prints = materialize(map_rows(rows, fn, "doc_id bigint, sketch array<bigint>, " + ", ".join(f"{f} bigint" for f in wide)), "wide-prints")
-    distinct = materialize(prints.groupBy(*wide).agg(F.min("doc_id").alias("least"), F.first("sketch").alias("sketch")), "wide-distinct")
-    print_ = F.struct("least", *wide)
-    tables = distinct.select(F.explode("sketch").alias("key"), print_.alias("p"))
-    order = Window.partitionBy("key").orderBy("p.least")
-    met = tables.select("p", F.lag("p").over(order).alias("before"), F.first("p").over(order).alias("first")).where("before is not null")
-    pairs = met.select("p", F.explode(F.array_distinct(F.array("before", "first"))).alias("q"))
-    distance = sum((F.bit_count(F.col(f"p.{f}").bitwiseXOR(F.col(f"q.{f}"))) for f in wide), F.lit(0))
-    near = pairs.select(F.col("p.least").alias("a"), F.col("q.least").alias("b"), distance.alias("d")).where(F.col("d") <= far_bits(similarity - SLACK)).distinct()
-    near = materialize(near, "near-pairs")
-    sure = far_bits((3 + similarity) / 4)
-    edges = near.where(F.col("d") <= sure).select("a", "b").unionByName(at_least(near.where(F.col("d") > sure), rows, shingle, similarity))
+        sets = [np.unique(shingle_hashes(t, shingle)) for t in texts]
+        prints = [wide_print(h) for h in sets]
+        out = {"doc_id": ids, "node": [set_digest(h) for h in sets], "n": [len(h) for h in sets], "keys": [prefix(h, common.value, similarity) for h in sets]}
+        return out | {f: [w[i] for w in prints] for i, f in enumerate(wide)}
+
+    prints = materialize(map_rows(rows, fn, "doc_id bigint, node bigint, n int, keys array<bigint>, " + ", ".join(f"{f} bigint" for f in wide)), "wide-prints")
+    nodes = materialize(prints.groupBy("node").agg(F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ("n", "keys", *wide)]), "wide-nodes")
+    tables = nodes.select("node", "n", F.size("keys").alias("keys"), F.posexplode("keys").alias("pos", "key")).select("key", "keys", F.struct("node", "n", "pos").alias("p"))
+    order = Window.partitionBy("key").orderBy("p.node")
+    met = tables.select("key", "keys", "p", F.lag("p").over(order).alias("before"), F.lead("p").over(order).alias("after"), F.first("p").over(order).alias("first"))
+    met = materialize(met.where("before is not null or after is not null").drop("after"), "met")
+
+    def links_of(pairs: DataFrame, tag: str) -> DataFrame:
+        """The pairs (p, q) that are similar enough, as edges."""
+        pairs = pairs.where(fits("p", "q", similarity)).select(F.greatest("p.node", "q.node").alias("a"), F.least("p.node", "q.node").alias("b")).distinct()
+        for side in ("a", "b"):
+            pairs = pairs.join(nodes.select(F.col("node").alias(side), F.struct("n", *wide).alias(f"p{side}")), side)
+        near = materialize(pairs.select("a", "b", differing("pa", "pb", wide).alias("d")).where(F.col("d") <= far_bits(similarity - SLACK)), f"{tag}-pairs")
+        sure = far_bits((3 + similarity) / 4)
+        return materialize(near.where(F.col("d") <= sure).select("a", "b").unionByName(at_least(near.where(F.col("d") > sure), rows, nodes, shingle, similarity)), f"{tag}-links")
+
+    edges = links_of(met.where("before is not null").select("p", F.explode(F.array_distinct(F.array("before", "first"))).alias("q")), "neighbour")
+    shares = materialize(met.groupBy("p.node").agg((F.count(F.lit(1)) / F.first("keys")).alias("share")), "shares")
+    shared = materialize(met.join(shares, F.col("p.node") == shares.node).select("key", "p", "share"), "shared")
+    left = open_members(shared, edges, "led")
+    edges = edges.unionByName(links_of(left.where("p.root <> lead.root").select("p", F.col("lead").alias("q")), "leader"))
+    left = open_members(shared, edges, "rest")
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    one = left.select("key", F.pmod(F.xxhash64("p.node"), blocks).cast("int").alias("block"), "p")
+    other = left.select("key", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.col("p").alias("q"))
+    edges = edges.unionByName(links_of(one.join(other, ["key", "block"]).where("p.node > q.node and p.root <> q.root"), "rest"))
     roots = components(edges)
-    named = distinct.join(roots, distinct.least == roots.node, "left").select(*wide, F.coalesce("root", "least").alias("component_id"))
-    return prints.join(named, wide).select("doc_id", "component_id")
+    named = nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    named = materialize(named, "named")
+    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    return prints.select("doc_id", "node").join(materialize(named.join(least, "root").select("node", "component_id"), "components"), "node").select("doc_id", "component_id")
 
 
 def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id") -> DataFrame:
