@@ -385,6 +385,26 @@ def test_near_duplicates_of_stars(spark):
     assert got == brute_near(made)
 
 
+def test_near_duplicates_at_the_threshold(spark):
+    """Texts of few shingles and long ones at just 0.8: 4 of 5, 12 of 15, 20 of 25, and edits near it."""
+    rnd = random.Random(12)
+    word = lambda: "w" + str(rnd.randint(0, 50000))
+    made = []
+    for n in [8] * 60 + [16] * 20 + [24] * 10:
+        w = [word() for _ in range(n)]
+        made += [" ".join(w), " ".join(w + [word() for _ in range((n - 4) // 4)])]
+        made.append(" ".join(w + [word() for _ in range((n - 4) // 4 + 1)]))
+    for _ in range(20):
+        w = [word() for _ in range(200)]
+        made.append(" ".join(w))
+        for at in rnd.sample(range(5, 195), 4):
+            w[at] = word()
+        made.append(" ".join(w))
+    rnd.shuffle(made)
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs_of(spark, made)).collect()}
+    assert got == brute_near(made)
+
+
 def test_languages(spark):
     sf = "/root/testdata/sf0.01"
     truth = {r[0]: (r[1], r[2]) for r in duckdb.sql(f"select doc_id, text, lang from '{sf}/documents.parquet'").fetchall()}

@@ -125,7 +125,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-WIDE, SLACK, FILTER_BITS = 4, 0.15, 1 << 25
+WIDE, FILTER_BITS = 4, 1 << 25
 SAMPLE, COMMON, BLOCK = 16, 1 << 16, 256
 
 
@@ -145,14 +145,10 @@ def prefix(shingles: np.ndarray, common: np.ndarray, similarity: float) -> list[
     return held.view(np.int64).tolist()
 
 
-def wide_print(h: np.ndarray) -> list[int]:
-    """A 256-bit fingerprint of a set of shingles, as four words."""
-    words, x = [], h
-    for _ in range(WIDE):
-        words.append(signed(majority(x)))
-        x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
-    return words
+def parities(shingles: np.ndarray) -> list[int]:
+    """Four words of 64 bits: each shingle of the set flips one of the 256."""
+    odd = np.bincount((shingles & np.uint64(64 * WIDE - 1)).astype(np.int64), minlength=64 * WIDE) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
 
 
 def common_shingles(rows: DataFrame, shingle: int) -> np.ndarray:
@@ -165,15 +161,8 @@ def common_shingles(rows: DataFrame, shingle: int) -> np.ndarray:
     return np.sort(np.array([r.h for r in found], np.int64).view(np.uint64))
 
 
-def far_bits(similarity: float) -> int:
-    """Bits of the wide fingerprint in which two sets of shingles of that similarity are
-    expected to differ: the angle between their indicator vectors."""
-    cosine = 2 * similarity / (1 + similarity)
-    return round(64 * WIDE * float(np.arccos(cosine)) / float(np.pi))
-
-
 def differing(p: str, q: str, wide: list[str]) -> F.Column:
-    """The bits in which two wide prints differ."""
+    """The bits in which two parities differ: no more than the shingles that only one set has."""
     return sum((F.bit_count(F.col(f"{p}.{f}").bitwiseXOR(F.col(f"{q}.{f}"))) for f in wide), F.lit(0))
 
 
@@ -252,7 +241,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     before it, in the second with the member that shares most of its prefix, which is the
     original of a star of copies. The third compares every pair of a bucket that earlier
     links do not join already, in blocks; so dense groups cost few pairs, and no pair
-    that could add a link goes unseen. Texts without words are copies of each other.
+    that could add a link goes unseen. Pairs are left out only by bounds that hold, of
+    places in the prefix and of parities; the others have their shingles compared. Texts without words are copies of each other.
     """
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_bytes(text_col).alias("text")).where("doc_id is not null")
     common = docs.sparkSession.sparkContext.broadcast(common_shingles(rows, shingle))
@@ -260,7 +250,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
 
     def fn(ids, texts):
         sets = [np.unique(shingle_hashes(t, shingle)) for t in texts]
-        prints = [wide_print(h) for h in sets]
+        prints = [parities(h) for h in sets]
         out = {"doc_id": ids, "node": [set_digest(h) for h in sets], "n": [len(h) for h in sets], "keys": [prefix(h, common.value, similarity) for h in sets]}
         return out | {f: [w[i] for w in prints] for i, f in enumerate(wide)}
 
@@ -276,9 +266,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
         pairs = pairs.where(fits("p", "q", similarity)).select(F.greatest("p.node", "q.node").alias("a"), F.least("p.node", "q.node").alias("b")).distinct()
         for side in ("a", "b"):
             pairs = pairs.join(nodes.select(F.col("node").alias(side), F.struct("n", *wide).alias(f"p{side}")), side)
-        near = materialize(pairs.select("a", "b", differing("pa", "pb", wide).alias("d")).where(F.col("d") <= far_bits(similarity - SLACK)), f"{tag}-pairs")
-        sure = far_bits((3 + similarity) / 4)
-        return materialize(near.where(F.col("d") <= sure).select("a", "b").unionByName(at_least(near.where(F.col("d") > sure), rows, nodes, shingle, similarity)), f"{tag}-links")
+        alone = (1 - similarity) / (1 + similarity) * (F.col("pa.n") + F.col("pb.n")) + 1e-6
+        near = materialize(pairs.where(differing("pa", "pb", wide) <= alone).select("a", "b"), f"{tag}-pairs")
+        return materialize(at_least(near, rows, nodes, shingle, similarity), f"{tag}-links")
 
     edges = links_of(met.where("before is not null").select("p", F.explode(F.array_distinct(F.array("before", "first"))).alias("q")), "neighbour")
     shares = materialize(met.groupBy("p.node").agg((F.count(F.lit(1)) / F.first("keys")).alias("share")), "shares")
