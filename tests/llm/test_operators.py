@@ -151,6 +151,15 @@ def test_redact_keeps_the_rest(spark):
     assert [r.text for r in out] == ["a [secret] b", None, "clean"]
 
 
+def test_long_secrets_are_masked_whole(spark):
+    rnd = random.Random(13)
+    made = lambda n: "".join(rnd.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZghijklmnopqrstuvwxyz0123456789+/") for _ in range(n))
+    long, run = made(9000), made(6000) + "0123456789abcdef" * 2 + made(3000)
+    assert [(a, b) for a, k, b in secrets.scan(f"bearer {long} end") if k == 3] == [(7, 9007)]
+    texts = [f"bearer {long} end", f"private_key {run} end"]
+    assert {r.text for r in secrets.redact(docs_of(spark, texts)).collect()} == {"bearer [secret] end", "private_key [secret][secret][secret] end"}
+
+
 def auc(scores, labels):
     order = np.argsort(scores)
     ranks = np.empty(len(order))

@@ -2,7 +2,8 @@
 
 Base kinds are `assign`, `access` and `hex`. The method adds `novel`: a string of 16 or
 more characters of the base-64 alphabet, outside the base spans, that follows a
-sensitive word within `REACH` characters and holds letters and digits. It is measured by
+sensitive word within `REACH` characters and holds letters and digits, to its own end
+however long it is; of one that base spans run into, the parts beside them. It is measured by
 its marginal compressed bytes: what the surrounding text, lower-cased and primed by a
 dictionary of common identifiers, needs with the candidate less what it needs without.
 Prose, identifiers and repeated strings compress; a random one costs nearly a byte for
@@ -62,20 +63,31 @@ class Novelty:
         return (len(self.compress(around + candidate.encode())) - len(self.compress(around))) / max(1, len(candidate))
 
 
+def outside(a: int, b: int, taken: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """The parts of a to b that no span covers; taken is in order of starts."""
+    out = []
+    for x, _, y in taken:
+        if y > a and x < b:
+            if x > a:
+                out.append((a, x))
+            a = max(a, y)
+    return out + [(a, b)] if a < b else out
+
+
 def novel_spans(text: str, taken: list[tuple[int, int, int]], novelty: Novelty, cost: float = COST) -> list[tuple[int, int, int]]:
     """Spans of the method's own kind; none overlaps a base span."""
     out, done = [], 0
     for word in SENSITIVE.finditer(text):
-        for m in CANDIDATE.finditer(text, max(done, word.end()), min(len(text), word.end() + REACH + 4096)):
-            a, b = m.span()
-            if a > word.end() + REACH:
-                break
-            done = b
-            s = m.group()
-            if any(x < b and a < y for x, _, y in taken) or not (any(c.isdigit() for c in s) and any(c.isalpha() for c in s)):
-                continue
-            if novelty.cost(text[max(0, a - AROUND) : a], s, text[b : b + AROUND]) >= cost:
-                out.append((a, 3, b))
+        at, limit = max(done, word.end()), word.end() + REACH
+        while found := CANDIDATE.search(text, at, limit + 16):
+            whole = CANDIDATE.match(text, found.start())
+            at = done = whole.end()
+            for a, b in outside(*whole.span(), taken):
+                s = text[a:b]
+                if b - a < 16 or not (any(c.isdigit() for c in s) and any(c.isalpha() for c in s)):
+                    continue
+                if novelty.cost(text[max(0, a - AROUND) : a], s, text[b : b + AROUND]) >= cost:
+                    out.append((a, 3, b))
     return out
 
 
