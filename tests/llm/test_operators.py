@@ -269,6 +269,19 @@ def test_topk_odd_vectors(spark):
     assert sorted(map(tuple, topk_search.top_k(huge, huge.where("vec_id = 0")).collect())) == brute_top([tuple(r) for r in huge.collect()], queries=lambda i: i == 0)
 
 
+def test_topk_of_repeated_query_rows(spark):
+    """Each of three rows of query 0, two of them equal, has its own ten candidates."""
+    rows = [(i, [float(i % 7), float(i)]) for i in range(1, 40)]
+    asked = [[1.0, 2.0], [1.0, 2.0], [3.0, -1.0]]
+    df = spark.createDataFrame(rows + [(0, e) for e in asked], "vec_id bigint, embedding array<double>")
+    got = topk_search.top_k(df, df.where("vec_id = 0"), block=16).collect()
+    want = []
+    for e in asked:
+        scored = sorted((-sum(int(1024 * x) * int(1024 * y) for x, y in zip(e, v)), i) for i, v in rows)[:10]
+        want += [(0, n + 1, i, -s) for n, (s, i) in enumerate(scored)]
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_urls(spark, sf_dir):
     db = duckdb.connect()
     db.sql(f"create view pages as select * from '{sf_dir}/pages.parquet'")

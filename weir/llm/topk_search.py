@@ -8,7 +8,8 @@ values read cannot beat, nor tie with, the kth score. The k best of each block m
 
 Vectors that are null, empty, or hold null or non-finite components take no part.
 Missing trailing components count as zero. Candidates with the query's own id are its
-own row. Repeated rows are candidates of their own. Scores are exact: in double while no
+own row. Repeated rows are candidates of their own, and repeated query rows are queries
+of their own: each has its k rows, under the one query_id. Scores are exact: in double while no
 sum can reach 2**53, else in Python integers, held within the range of a long. An empty
 table, or one without queries, gives an empty result. Extra columns are ignored.
 """
@@ -20,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weir.llm.common import read_table, ship
+from weir.llm.common import materialize, read_table, ship
 
 SCALE, K = 1024, 10
 BLOCK, QUERIES = 8192, 1024
@@ -75,16 +76,16 @@ def exact_topk(x: np.ndarray, ids: np.ndarray, q: np.ndarray, own: int, k: int =
     return [(-s, i) for s, i in scored[:k]]
 
 
-def search_block(queries: list, query_ids: np.ndarray, rows: list, ids: np.ndarray, k: int = K) -> pd.DataFrame:
+def search_block(queries: list, query_ids: np.ndarray, copies: np.ndarray, rows: list, ids: np.ndarray, k: int = K) -> pd.DataFrame:
     width = max(map(len, [*rows, *queries]))
     x, q = matrix(rows, width), matrix(queries, width)
     safe = width * np.abs(x).max(initial=0) * np.abs(q).max(initial=0) < 2**53
     order = np.argsort(x, axis=0, kind="stable").astype(np.int32) if safe else None
     out = []
-    for i, own in enumerate(query_ids.tolist()):
+    for i, (own, copy) in enumerate(zip(query_ids.tolist(), copies.tolist())):
         best = threshold_topk(x, ids, order, q[i], own, k) if safe else exact_topk(x, ids, q[i], own, k)
-        out += [(own, other, score) for score, other in best]
-    return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
+        out += [(own, copy, other, score) for score, other in best]
+    return pd.DataFrame(out, columns=["query_id", "copy", "vec_id", "score"]).astype("int64")
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, block: int = BLOCK, query_block: int = QUERIES) -> DataFrame:
@@ -93,19 +94,20 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, block: int = BLOCK
     sound = "embedding is not null and size(embedding) > 0 and not exists(embedding, x -> x is null or isnan(x) or abs(x) = double('infinity'))"
     keep = [F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")]
     vectors, queries = vectors.select(*keep).where(sound).where("vec_id is not null"), queries.select(*keep).where(sound).where("vec_id is not null")
+    queries = materialize(queries.withColumn("copy", F.row_number().over(Window.partitionBy("vec_id").orderBy("embedding")).cast("bigint")), "queries")
     blocks, asked = -(-vectors.count() // block) or 1, -(-queries.count() // query_block) or 1
     b = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")
     a = F.pmod(F.xxhash64("vec_id"), F.lit(asked)).cast("int")
     cells = vectors.select("vec_id", "embedding", b.alias("b"), F.explode(F.sequence(F.lit(0), F.lit(asked - 1))).alias("a"))
-    probes = queries.select("vec_id", "embedding", a.alias("a"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"))
+    probes = queries.select("vec_id", "copy", "embedding", a.alias("a"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"))
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
-            return pd.DataFrame({c: pd.Series(dtype="int64") for c in ("query_id", "vec_id", "score")})
-        return search_block(left["embedding"].tolist(), left["vec_id"].to_numpy(), right["embedding"].tolist(), right["vec_id"].to_numpy(), k)
+            return pd.DataFrame({c: pd.Series(dtype="int64") for c in ("query_id", "copy", "vec_id", "score")})
+        return search_block(left["embedding"].tolist(), left["vec_id"].to_numpy(), left["copy"].to_numpy(), right["embedding"].tolist(), right["vec_id"].to_numpy(), k)
 
-    found = probes.groupBy("a", "b").cogroup(cells.groupBy("a", "b")).applyInPandas(search, "query_id bigint, vec_id bigint, score bigint")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    found = probes.groupBy("a", "b").cogroup(cells.groupBy("a", "b")).applyInPandas(search, "query_id bigint, copy bigint, vec_id bigint, score bigint")
+    rank = F.row_number().over(Window.partitionBy("query_id", "copy").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
