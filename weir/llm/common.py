@@ -35,8 +35,13 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def own_folder(spark: SparkSession) -> str:
+    """This application's part of the shared folder."""
+    return f"{shared_dir(spark).rstrip('/')}/weir-{spark.sparkContext.applicationId}"
+
+
 def shared_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/weir/{tag}-{uuid.uuid4().hex}"
+    return f"{own_folder(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
@@ -49,8 +54,9 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
 
 
 def drop_materialized(spark: SparkSession) -> None:
-    """Delete every table that materialize() wrote, once the results are stored."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/weir")
+    """Delete every table that materialize() wrote in this application, once the results
+    are stored; those of other applications on the same folder stay."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(own_folder(spark))
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
@@ -70,22 +76,42 @@ def ship(spark: SparkSession) -> None:
     context._weir_shipped = True
 
 
-def map_rows(df: DataFrame, fn: Callable[..., dict[str, list]], schema: StructType | str, batch_rows: int = 1000) -> DataFrame:
+BATCH_BYTES = 8 << 20
+
+
+def parts_of(batch: pa.RecordBatch, rows: int, size: int) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of at most `rows` rows and `size` bytes, or of one row."""
+    todo = [batch.slice(at, rows) for at in range(0, batch.num_rows, rows)][::-1]
+    while todo:
+        part = todo.pop()
+        if part.num_rows > 1 and part.nbytes > size:
+            half = part.num_rows // 2
+            todo += [part.slice(half), part.slice(0, half)]
+        else:
+            yield part
+
+
+def arrow_schema(schema: StructType) -> pa.Schema:
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    return to_arrow_schema(schema)
+
+
+def map_rows(df: DataFrame, fn: Callable[..., dict[str, list]], schema: StructType | str, batch_rows: int = 1000, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """mapInArrow over small batches. fn gets one column list for each column of df and
-    returns one list for each field of schema; it holds one batch at a time."""
-    spark = df.sparkSession
-    ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch_rows))
+    returns one list for each field of schema. It holds at most batch_rows rows and
+    batch_bytes bytes at a time (or one row, if that is larger); what Spark sends at once
+    is bounded by its own spark.sql.execution.arrow.maxBytesPerBatch. No setting of the
+    session changes."""
+    ship(df.sparkSession)
     if isinstance(schema, str):
         schema = StructType.fromDDL(schema)
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    arrow = to_arrow_schema(schema)
+    arrow = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                got = fn(*[c.to_pylist() for c in batch.columns])
+            for part in parts_of(batch, batch_rows, batch_bytes):
+                got = fn(*[c.to_pylist() for c in part.columns])
                 yield pa.RecordBatch.from_arrays([pa.array(got[f.name], type=f.type) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, schema)
