@@ -1,22 +1,26 @@
 """Secret scans: fixed patterns, and zstandard novelty beside sensitive words.
 
 Base kinds are `assign`, `access` and `hex`. The method adds `novel`: a string of 16 or
-more characters of the base-64 alphabet, outside the base spans, that follows a
-sensitive word within `REACH` characters and holds letters and digits, to its own end
-however long it is; of one that base spans run into, the parts beside them. It is measured by
+more characters of the base-64 alphabet that follows a sensitive word within `REACH`
+characters and holds letters and digits, whole and to its own end however long it is,
+unless base spans cover all of it; one that a base span only runs into is reported
+beside that span, and measured by what the span leaves if that is as long as a candidate.
+It is measured by
 its marginal compressed bytes: what the surrounding text, lower-cased and primed by a
 dictionary of common identifiers, needs with the candidate less what it needs without.
 Prose, identifiers and repeated strings compress; a random one costs nearly a byte for
 each 1.3 characters and is reported from `COST` bytes a character upwards.
 
-Null texts are empty and have no spans. Spans are in code points, end exclusive. Every
-row gives one row; an empty table gives an empty result; extra columns are ignored.
+Null texts are empty and have no spans. Spans are in code points, end exclusive. Very
+long texts are scanned whole, in time that grows with their length. Every row gives one
+row, repeated rows too; an empty table gives an empty result; extra columns are ignored,
+or kept by redact().
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
+from bisect import bisect_left, bisect_right
 
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -63,31 +67,43 @@ class Novelty:
         return (len(self.compress(around + candidate.encode())) - len(self.compress(around))) / max(1, len(candidate))
 
 
-def outside(a: int, b: int, taken: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """The parts of a to b that no span covers; taken is in order of starts."""
+def merged(spans: list[tuple[int, int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the maximal intervals of spans, which are in order of starts."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for a, _, b in spans:
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
+
+
+def uncovered(text: str, a: int, b: int, starts: list[int], ends: list[int]) -> str:
+    """What intervals leave of text[a:b]."""
     out = []
-    for x, _, y in taken:
-        if y > a and x < b:
-            if x > a:
-                out.append((a, x))
-            a = max(a, y)
-    return out + [(a, b)] if a < b else out
+    for i in range(bisect_right(ends, a), bisect_left(starts, b)):
+        out.append(text[a : max(a, starts[i])])
+        a = max(a, ends[i])
+    return "".join(out) + text[a:b]
 
 
 def novel_spans(text: str, taken: list[tuple[int, int, int]], novelty: Novelty, cost: float = COST) -> list[tuple[int, int, int]]:
-    """Spans of the method's own kind; none overlaps a base span."""
+    """Spans of the method's own kind: no two overlap, and base spans cover none of them."""
     out, done = [], 0
+    starts, ends = merged(taken)
     for word in SENSITIVE.finditer(text):
         at, limit = max(done, word.end()), word.end() + REACH
         while found := CANDIDATE.search(text, at, limit + 16):
-            whole = CANDIDATE.match(text, found.start())
-            at = done = whole.end()
-            for a, b in outside(*whole.span(), taken):
-                s = text[a:b]
-                if b - a < 16 or not (any(c.isdigit() for c in s) and any(c.isalpha() for c in s)):
-                    continue
-                if novelty.cost(text[max(0, a - AROUND) : a], s, text[b : b + AROUND]) >= cost:
-                    out.append((a, 3, b))
+            a, b = CANDIDATE.match(text, found.start()).span()
+            at = done = b
+            rest = uncovered(text, a, b, starts, ends)
+            s = rest if len(rest) >= 16 else text[a:b]
+            if not rest or not (any(map(str.isdigit, s)) and any(map(str.isalpha, s))):
+                continue
+            if novelty.cost(text[max(0, a - AROUND) : a], s, text[b : b + AROUND]) >= cost:
+                out.append((a, 3, b))
     return out
 
 
