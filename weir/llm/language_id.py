@@ -6,11 +6,16 @@ dictionary and not the text's own past explains it; the language with the fewest
 wins. Letters alone are compared, in lower case. A text is rejected if it has no letter
 or if the runner-up needs hardly more bytes.
 
-The sample: at most `docs_per_lang` texts of a language, the ones lowest by a hash of id
-and text, and `dict_bytes` of them. All else reads every text whole. Null and letterless
-texts get "und" and score 0 and are rejected; with no labelled text at all every text gets
-"und", but those with letters are not rejected. Ties
-go to the language with more labelled rows, then the lesser name.
+The sample: at most `docs_per_lang` different texts of a language, the ones lowest by a
+hash of the text; copies of a text count once, so a text that many rows repeat neither
+crowds out others nor loses its language. Each sampled text is read whole. A dictionary
+has `dict_bytes` bytes or little more: all of its texts if they are that short, else
+passages spread evenly over each whole text, the same amount of each. All else reads
+every text whole, very long ones too, block by block. Null and letterless texts get "und"
+and score 0 and are rejected; with no labelled text at all every text gets "und", but
+those with letters are not rejected. Ties go to the language with more labelled rows,
+then the lesser name. Repeated rows each give a row, an empty table an empty result.
+Extra columns are kept; those named like a result are replaced.
 """
 
 from __future__ import annotations
@@ -23,11 +28,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from weir.llm.common import fold, map_rows, read_table
+from weir.llm.common import fold, map_rows, materialize, read_table
 
 UND = "und"
 BLOCK = 1024
 LEVEL = 9
+PASSAGE = 160
 MARGIN = 0.01
 NOT_LETTERS = re.compile(r"[\W\d_]+")
 
@@ -72,21 +78,46 @@ class Model:
         return self.encoders()[order[0]][0], 1.0 / sum(weights), margin < self.margin
 
 
+def passages(data: bytes, share: int, size: int = PASSAGE) -> bytes:
+    """Passages of `size` bytes, spread evenly over all of data, about `share` bytes of them."""
+    if len(data) <= share:
+        return data
+    n = max(1, round(share / size))
+    last = len(data) - size
+    return b" ".join(data[at : at + size] for at in (last * (2 * i + 1) // (2 * n) for i in range(n)))
+
+
+def level(sizes: list[int], room: int) -> int:
+    """The most bytes of each text with which all of them fit in the room."""
+    for n, size in enumerate(sorted(sizes)):
+        if size * (len(sizes) - n) > room:
+            return room // (len(sizes) - n)
+        room -= size
+    return max(sizes, default=0)
+
+
 def fit(docs: DataFrame, docs_per_lang: int = 200, dict_bytes: int = 32768, **model) -> Model:
-    """docs: text and lang of the labelled rows. Two passes: counts by language, then a
-    sample whose size the parameters bound."""
+    """docs: text and lang of the labelled rows. One pass counts rows and different texts
+    by language, one takes the sample; only the dictionaries reach the driver."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("text", "lang", F.xxhash64("text").alias("h"))
-    counts = {r.lang: r.n for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("h").alias("different")).collect()
     if not counts:
         return Model({}, **model)
-    share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, 4.0 * docs_per_lang / n)))])
-    thin = known.where((F.pmod(F.col("h"), F.lit(1 << 20)) <= share[F.col("lang")] * (1 << 20)))
-    first = thin.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("r") <= docs_per_lang)
-    texts: dict[str, list[bytes]] = {k: [] for k in sorted(counts, key=lambda k: (-counts[k], k))}
-    cut = 8 * dict_bytes // docs_per_lang
-    for r in first.select("lang", F.substring("text", 1, cut).alias("text"), "r").orderBy("lang", "r").collect():
-        texts[r.lang].append(letters(r.text))
-    return Model({k: b" ".join(dict.fromkeys(v))[: dict_bytes] for k, v in texts.items()}, **model)
+    # Four times the sample by that estimate: its error of a few hundredths leaves none short.
+    share = F.create_map(*[x for r in counts for x in (F.lit(r.lang), F.lit(min(1.0, 4.0 * docs_per_lang / max(1, r.different))))])
+    thin = known.where(F.pmod(F.col("h"), F.lit(1 << 40)) <= share[F.col("lang")] * (1 << 40))
+    different = thin.groupBy("lang", "h").agg(F.min("text").alias("text"))
+    first = different.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= docs_per_lang)
+    sampled = materialize(map_rows(first.select("lang", "r", "text"), lambda lang, r, text: {"lang": lang, "r": r, "letters": list(map(letters, text))}, "lang string, r int, letters binary"), "language-sample")
+    sizes: dict[str, list[int]] = {}
+    for r in sampled.select("lang", F.octet_length("letters").alias("n")).collect():  # docs_per_lang numbers a language
+        sizes.setdefault(r.lang, []).append(r.n)
+    levels = {lang: level(n, dict_bytes) for lang, n in sizes.items()}
+    cut = map_rows(sampled, lambda lang, r, data: {"lang": lang, "r": r, "part": [passages(d, levels[x]) for x, d in zip(lang, data)]}, "lang string, r int, part binary")
+    parts: dict[str, list[bytes]] = {r.lang: [] for r in sorted(counts, key=lambda r: (-r.n, r.lang))}
+    for r in sorted(cut.collect(), key=lambda r: (r.lang, r.r)):
+        parts[r.lang].append(bytes(r.part))
+    return Model({k: b" ".join(dict.fromkeys(v)) for k, v in parts.items()}, **model)
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
