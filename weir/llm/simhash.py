@@ -2,21 +2,28 @@
 
 Fingerprints: 64 bits, a bit is 1 if it is set in over half of the XXH64 hashes of the
 document's word shingles. Equal fingerprints collapse first, so groups of copies cost
-one row. Then each distinct fingerprint looks itself up in a table for each half: the
-Hamming ball of radius 1 within that half is enumerated beside the exact other half.
-Two fingerprints share a key exactly if they differ in 2 bits or fewer (a common
-neighbour lies between them), so no link is missed; the distance is still verified.
-A key has at most 65 members, and only neighbours in key order are linked, so links
-stay linear in the input however dense a group is. Components come from alternating
-large-star and small-star rounds, each cut off by checkpoint().
-
-Null and empty texts have fingerprint 0 and are linked like any other. Null ids take
-part; the smallest id that is not null names the component. An empty table gives an
-empty result; extra columns are ignored; repeated rows are rows of their own.
+one row. Each distinct fingerprint then stands in two tables, under its low and its high
+segment of 32 bits. Two fingerprints at 2 bits or fewer differ in at most one bit of one
+segment, so each looks up the Hamming ball of radius 1 of either segment in that
+segment's table, and the complete distance of what it meets is verified. Of two segments
+one bit apart, the one without the bit asks.
+
+A segment that more than `FULL` fingerprints share would be quadratic; there the lookup
+is by both segments: the ball of the other segment is enumerated too, so a bucket has
+at most 33 members, and neighbours in its order are linked, which connects what all
+its links connect. Nothing is left out. Components come from alternating large-star and
+small-star rounds, each cut off by checkpoint().
+
+Null and empty texts have fingerprint 0 and are linked like any other. Very long texts
+are read whole. Null ids take part; the smallest id that is not null names the component.
+An empty table gives an empty result; extra columns are ignored, or kept by
+one_of_each(); repeated rows are rows of their own.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import xxhash
 import zstandard
@@ -27,7 +34,8 @@ from weir.llm.common import map_rows, materialize, read_table, shared_dir, text_
 
 SEED = 42
 RADIUS = 2
-HALF = 32
+SEGMENT = 32
+FULL = 32
 
 
 def shingle_hashes(text: bytes, k: int) -> np.ndarray:
@@ -45,6 +53,26 @@ def shingle_hashes(text: bytes, k: int) -> np.ndarray:
     return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, (ends[k - 1 :] - 1).tolist())), np.uint64, n - k + 1)
 
 
+MIXERS = tuple(np.uint64(xxhash.xxh64_intdigest(b"place %d" % i, SEED) | 1) for i in range(64))
+
+
+def gram_hashes(text: bytes, k: int) -> np.ndarray:
+    """A 64-bit hash of each k-word shingle, A-Z lower-cased, from the words' own hashes;
+    of the whole sequence if it has fewer words. Repeats are kept."""
+    words = text.lower().split()
+    n = len(words)
+    k = min(k, n)
+    if not n:
+        return np.empty(0, np.uint64)
+    h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, n)
+    out = np.full(n - k + 1, k, np.uint64)
+    for i in range(k):
+        out += h[i : n - k + 1 + i] * MIXERS[i]
+    out ^= out >> np.uint64(32)
+    out *= MIXERS[-1]
+    return out ^ (out >> np.uint64(29))
+
+
 def majority(hashes: np.ndarray) -> int:
     """The 64-bit fingerprint of unsigned hashes."""
     n = len(hashes)
@@ -67,22 +95,33 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text
     return map_rows(rows, lambda ids, texts: {"doc_id": ids, "fp": [signed(majority(shingle_hashes(t, shingle))) for t in texts]}, "doc_id bigint, fp bigint")
 
 
-def ball_keys(fp: F.Column) -> F.Column:
-    """The keys of a fingerprint: itself, and each flip of one bit in either half.
-
-    Two tables, low half and high half: a flip in one half beside the exact other half.
-    """
-    flips = [fp.bitwiseXOR(F.lit(signed(1 << (half * HALF + bit)))) for half in (0, 1) for bit in range(HALF)]
-    return F.array(fp, *flips)
+def ball(segment: F.Column) -> list[F.Column]:
+    """The values of a segment at one bit or none."""
+    return [segment, *(segment.bitwiseXOR(F.lit(1 << bit)) for bit in range(SEGMENT))]
 
 
-def links(distinct: DataFrame) -> DataFrame:
+def links(distinct: DataFrame, full: int = FULL) -> DataFrame:
     """(a, b), a > b: links between distinct fingerprints at 2 or fewer bits that
     connect whatever the full set of such links connects."""
-    keys = distinct.select("fp", F.explode(ball_keys(F.col("fp"))).alias("key"))
-    before = F.lag("fp").over(Window.partitionBy("key").orderBy("fp"))
-    near = keys.withColumn("b", before).where(F.col("b").isNotNull()).select(F.col("fp").alias("a"), "b")
-    return near.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS).distinct()
+    low, high = F.col("fp").bitwiseAND(F.lit((1 << SEGMENT) - 1)), F.shiftrightunsigned("fp", SEGMENT)
+    tagged = F.array(F.struct(low.alias("key"), high.alias("other")), F.struct((high + F.lit(1 << SEGMENT)).alias("key"), low.alias("other")))
+    tables = distinct.select("fp", F.inline(tagged))
+    hot = materialize(tables.groupBy("key").count().where(F.col("count") > full).select("key", F.lit(True).alias("hot")), "hot-segments")
+    tables = materialize(tables.join(hot, "key", "left").select("key", "other", "fp", F.coalesce("hot", F.lit(False)).alias("hot")), "segments")
+    bits = tables.select("fp", "other", "key", F.explode(F.array(*[F.lit(1 << bit) for bit in range(SEGMENT)])).alias("bit"))
+    asking = bits.where(F.col("key").bitwiseAND(F.col("bit")) == 0).select("fp", "other", F.col("key").bitwiseOR(F.col("bit")).alias("key"))
+    few, many = tables.where("not hot"), tables.where("hot")
+    met = [
+        few.select("key", F.col("fp").alias("a")).join(few.select("key", F.col("fp").alias("b")), "key").where("a > b").select("a", "b"),
+        asking.select("key", F.col("fp").alias("a")).join(few.select("key", F.col("fp").alias("b")), "key").select("a", "b"),
+    ]
+    around = many.select("key", "fp", F.explode(F.array(*ball(F.col("other")))).alias("other"))
+    before = around.withColumn("b", F.lag("fp").over(Window.partitionBy("key", "other").orderBy("fp")))
+    met.append(before.where("b is not null").select(F.col("fp").alias("a"), "b"))
+    wide = asking.join(hot.select("key"), "key").select("key", F.col("fp").alias("a"), F.explode(F.array(*ball(F.col("other")))).alias("other"))
+    met.append(wide.join(many.select("key", "other", F.col("fp").alias("b")), ["key", "other"]).select("a", "b"))
+    near = [m.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")) for m in met]
+    return reduce(DataFrame.unionByName, near).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -125,7 +164,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-WIDE, FILTER_BITS = 4, 1 << 25
+WIDE, FILTER_BITS = 4, 1 << 28
 SAMPLE, COMMON, BLOCK = 16, 1 << 16, 256
 
 
@@ -155,7 +194,7 @@ def common_shingles(rows: DataFrame, shingle: int) -> np.ndarray:
     """The COMMON most frequent shingles of a sample of the texts, sorted. They only set
     the order of shingles, which any choice keeps exact: rare ones make small buckets."""
     part = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0)
-    hashed = map_rows(part, lambda ids, texts: {"h": [np.unique(shingle_hashes(t, shingle)).view(np.int64).tolist() for t in texts]}, "h array<bigint>")
+    hashed = map_rows(part, lambda ids, texts: {"h": [np.unique(gram_hashes(t, shingle)).view(np.int64).tolist() for t in texts]}, "h array<bigint>")
     counts = hashed.select(F.explode("h").alias("h")).groupBy("h").count().where("count > 2")
     found = counts.orderBy(F.desc("count"), "h").limit(COMMON).collect()
     return np.sort(np.array([r.h for r in found], np.int64).view(np.uint64))
@@ -166,9 +205,11 @@ def differing(p: str, q: str, wide: list[str]) -> F.Column:
     return sum((F.bit_count(F.col(f"{p}.{f}").bitwiseXOR(F.col(f"{q}.{f}"))) for f in wide), F.lit(0))
 
 
-def members(ids: DataFrame, column: str, bits: int = FILTER_BITS) -> np.ndarray:
-    """A bitmap of the hashed ids, of `bits` bits whatever their number: a filter without
-    false negatives. One row of 4 KB for each 32,768 bits reaches the driver."""
+def members(ids: DataFrame, column: str, most: int = FILTER_BITS) -> np.ndarray:
+    """A bitmap of the hashed ids: a filter without false negatives. It has 16 bits for
+    each id and never more than `most` (32 MB), beyond which it lets more through. One
+    row of 4 KB for each 32,768 bits reaches the driver."""
+    bits = min(most, 1 << max(16, (16 * ids.count()).bit_length()))
     at = F.pmod(F.xxhash64(column), F.lit(bits)) + 1
     rows = ids.select(F.bitmap_bucket_number(at).alias("n"), F.bitmap_bit_position(at).alias("at")).groupBy("n").agg(F.bitmap_construct_agg("at").alias("map")).collect()
     out = np.zeros(bits // 8, np.uint8)
@@ -185,15 +226,16 @@ def at_least(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, shingle: int,
     before the shuffle, and the others travel compressed."""
     asked = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct()
     ids = nodes.join(asked, nodes.node == asked.a, "left_semi").select("least")
-    held = rows.sparkSession.sparkContext.broadcast(members(ids, "least"))
+    bitmap = members(ids, "least")
+    held = rows.sparkSession.sparkContext.broadcast(bitmap)
 
     def squeeze(ids, texts, at):
         at = np.array(at, np.int64)
         keep = np.flatnonzero(held.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).tolist()
         compress = zstandard.ZstdCompressor(level=3).compress
-        return {"node": [set_digest(np.unique(shingle_hashes(texts[i], shingle))) for i in keep], "text": [compress(texts[i]) for i in keep]}
+        return {"node": [set_digest(np.unique(gram_hashes(texts[i], shingle))) for i in keep], "text": [compress(texts[i]) for i in keep]}
 
-    hashed = rows.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("at"))
+    hashed = rows.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(8 * len(bitmap))).alias("at"))
     texts = materialize(map_rows(hashed, squeeze, "node bigint, text binary").dropDuplicates(["node"]), "asked-texts")
     both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
 
@@ -203,7 +245,7 @@ def at_least(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, shingle: int,
 
         def shingles(side, node, packed):
             if last.get(side, (None,))[0] != node:
-                last[side] = node, np.unique(shingle_hashes(text(packed), shingle))
+                last[side] = node, np.unique(gram_hashes(text(packed), shingle))
             return last[side][1]
 
         for i in range(len(a)):
@@ -249,7 +291,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     wide = [f"f{i}" for i in range(WIDE)]
 
     def fn(ids, texts):
-        sets = [np.unique(shingle_hashes(t, shingle)) for t in texts]
+        sets = [np.unique(gram_hashes(t, shingle)) for t in texts]
         prints = [parities(h) for h in sets]
         out = {"doc_id": ids, "node": [set_digest(h) for h in sets], "n": [len(h) for h in sets], "keys": [prefix(h, common.value, similarity) for h in sets]}
         return out | {f: [w[i] for w in prints] for i, f in enumerate(wide)}
