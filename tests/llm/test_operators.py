@@ -146,6 +146,59 @@ def test_secret_rules_and_novelty():
     assert secrets.scan("plain kZ8vQ2mX7LpR4tYw9NbC3hJd6Gf1Ss0a") == []
 
 
+def plain_novel(text):
+    """The method's own spans by the letter of the docstring: every run of the alphabet that
+    begins within reach of a sensitive word's end, or is what follows one inside a run."""
+    base, out, done = contract_spans(text), [], 0
+    covered = np.zeros(len(text) + 1, bool)
+    for a, _, b in base:
+        covered[a:b] = True
+    compress = secrets.Novelty()
+    for word in re.finditer("(?i:password|passwd|passphrase|secret|token|api_?key|private_?key|credential|bearer|authorization|access_?key|signature)", text, re.ASCII):
+        at = max(done, word.end())
+        while at < min(len(text), word.end() + 48 + 1):
+            end = at
+            while end < len(text) and re.match("[A-Za-z0-9+/_=-]", text[end]):
+                end += 1
+            if end - at >= 16 and at + 16 <= word.end() + 48 + 16:
+                rest = "".join(c for c, gone in zip(text[at:end], covered[at:end]) if not gone)
+                s = rest if len(rest) >= 16 else text[at:end]
+                if rest and re.search("[0-9]", s) and re.search("[A-Za-z]", s) and compress.cost(text[max(0, at - 256) : at], s, text[end : end + 256]) >= secrets.COST:
+                    out.append((at, 3, end))
+                done = end
+            at = max(end, at + 1)
+    return out
+
+
+def test_novel_spans_equal_a_plain_search():
+    rnd = random.Random(17)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    made = lambda n: "".join(rnd.choice(letters) for _ in range(n))
+    bits = [lambda: "token ", lambda: "the bearer is ", lambda: "Signature: ", lambda: "password=", lambda: "plain words here ", lambda: made(rnd.randint(10, 60)), lambda: " ", lambda: "0123456789abcdef" * 2, lambda: "private_key ", lambda: "x" * 30 + "1 ", lambda: ". "]
+    for _ in range(300):
+        t = "".join(rnd.choice(bits)() for _ in range(rnd.randint(1, 25)))
+        assert [s for s in secrets.scan(t) if s[1] == 3] == plain_novel(t), t
+
+
+def test_a_string_with_hex_inside_is_reported_whole():
+    s = "Zx8vQ2mX7LpR4tYwY" + "0123456789abcdef01234567" + "GkZ8vQ2mX7LpR4tY"
+    assert secrets.written(secrets.scan(f"a bearer {s}")) == f"novel:9:{9 + len(s)},hex:26:50"
+
+
+def test_secrets_take_time_in_proportion():
+    import time
+
+    def took(n):
+        t = "".join(f"token=abcdef{i} bearer kZ8vQ2mX7LpR4tYw9NbC3hJd{i} " for i in range(n))
+        began = time.process_time()
+        assert len(secrets.scan(t)) >= n
+        return time.process_time() - began
+
+    took(500)
+    small = min(took(4000) for _ in range(2))
+    assert min(took(8000) for _ in range(2)) < 3 * small
+
+
 def test_redact_keeps_the_rest(spark):
     out = secrets.redact(docs_of(spark, ["a token = abcdef123 b", None, "clean"])).orderBy("doc_id").collect()
     assert [r.text for r in out] == ["a [secret] b", None, "clean"]
@@ -157,7 +210,7 @@ def test_long_secrets_are_masked_whole(spark):
     long, run = made(9000), made(6000) + "0123456789abcdef" * 2 + made(3000)
     assert [(a, b) for a, k, b in secrets.scan(f"bearer {long} end") if k == 3] == [(7, 9007)]
     texts = [f"bearer {long} end", f"private_key {run} end"]
-    assert {r.text for r in secrets.redact(docs_of(spark, texts)).collect()} == {"bearer [secret] end", "private_key [secret][secret][secret] end"}
+    assert {r.text for r in secrets.redact(docs_of(spark, texts)).collect()} == {"bearer [secret] end", "private_key [secret] end"}
 
 
 def auc(scores, labels):
@@ -178,6 +231,43 @@ def test_quality(spark):
     assert auc([s for s, _ in held], [y for _, y in held]) > 0.9
 
 
+def test_quality_vectors_equal_a_plain_sum(spark):
+    rnd = random.Random(21)
+    texts = [" ".join(rnd.choice(["One", "two", "3", "FOUR", "five,", "six"]) for _ in range(rnd.randint(0, 30))) for _ in range(40)] + ["rare wörd _ ."]
+    found = spark.createDataFrame([(i, t, i % 2) for i, t in enumerate(texts)], "doc_id bigint, text string, quality int")
+    words = quality.known_words(found)
+    counts = Counter(w for t in texts for w in quality.WORD.findall(t))
+    assert words == sorted((w for w, n in counts.items() if n >= 3), key=lambda w: (-counts[w], w))
+    voc = quality.Vocabulary(words)
+    index, want = voc.index(), np.zeros((len(voc.at), 64))
+    for t in texts:
+        w = quality.WORD.findall(t)
+        for i in range(len(w)):
+            for j in range(max(0, i - 2), min(len(w), i + 3)):
+                if i != j:
+                    a, b = (voc.at.get(w[x], voc.at[quality.shape(w[x])]) for x in (i, j))
+                    want[a] += index[b]
+                    want[voc.at[quality.shape(w[i])]] += index[voc.at[quality.shape(w[j])]]
+    assert np.array_equal(quality.neighbours(found, voc), want)
+
+
+def test_quality_reads_whole_texts_in_stretches(monkeypatch):
+    voc = quality.Vocabulary(["a", "b"])
+    vectors = voc.vectors(np.zeros((len(voc.at), 64)))
+    rnd = random.Random(22)
+    t = " ".join(rnd.choice("abcd") + rnd.choice(["", "", ",", " 7"]) for _ in range(3000))
+    once = vectors.pool(t)
+    monkeypatch.setattr(quality.stretches, "__defaults__", (40,))
+    assert [w for p in quality.stretches(t) for w in p] == quality.WORD.findall(t)
+    assert np.allclose(vectors.pool(t), once, atol=1e-6)
+    table, apart = np.zeros(len(voc.at) * 64), np.zeros(len(voc.at) * 64)
+    words = quality.WORD.findall(t)
+    voc.add(words, table)
+    voc.add(words[:100], apart)
+    voc.add(words[98:], apart, skip=2)
+    assert np.array_equal(table, apart)
+
+
 def brute_windows(rows):
     first, out = {}, {}
     words = {i: (t or "").encode().split() for i, t in rows}
@@ -269,6 +359,58 @@ def test_topk_odd_vectors(spark):
     assert sorted(map(tuple, topk_search.top_k(huge, huge.where("vec_id = 0")).collect())) == brute_top([tuple(r) for r in huge.collect()], queries=lambda i: i == 0)
 
 
+def test_topk_without_overflow(spark):
+    """Finite components beyond 1.7e305: scores are held within a long, order is kept."""
+    v = [(0, [1e306, -1.0]), (1, [1e-300, 1.0]), (2, [0.0, 1024.5]), (3, [-1e306, 0.0]), (4, [2e305, 0.0])]
+    df = spark.createDataFrame(v, "vec_id bigint, embedding array<double>")
+    got = [(r.vec_id, r.score) for r in topk_search.top_k(df, df.where("vec_id = 0")).orderBy("rank").collect()]
+    assert got == [(4, (1 << 63) - 1), (1, -1024 * 1024), (2, -1024 * int(1024 * 1024.5)), (3, -(1 << 63))]
+
+
+def test_topk_scores_few_rows_of_skewed_vectors():
+    """Vectors in a few dimensions, and clusters of near copies: the bound stops the search."""
+    rng = np.random.default_rng(3)
+    skewed = rng.normal(size=(4000, 16)) * 0.5 ** np.arange(16)
+    clusters = np.repeat(rng.normal(size=(250, 64)), 16, axis=0) + 0.02 * rng.normal(size=(4000, 64))
+    clusters /= np.linalg.norm(clusters, axis=1, keepdims=True)
+    for raw, most in ((skewed, 0.2), (clusters, 0.6)):
+        x = topk_search.whole(raw)
+        order, ids = np.argsort(x, axis=0, kind="stable"), np.arange(len(x))
+        shares = []
+        for q in range(0, 4000, 200):
+            best, scored = topk_search.threshold_topk(x, ids, order, x[q], q)
+            want = sorted(((-int(s), i) for i, s in enumerate(x @ x[q]) if i != q))[:10]
+            assert [(-s, i) for s, i, _ in best] == want
+            shares.append(scored / len(x))
+        assert np.mean(shares) < most, np.mean(shares)
+
+
+def test_topk_floor_cuts_a_block_short():
+    rng = np.random.default_rng(5)
+    x = topk_search.whole(rng.normal(size=(4000, 8)))
+    order, ids = np.argsort(x, axis=0, kind="stable"), np.arange(len(x))
+    q = topk_search.whole(rng.normal(size=8) * 3)
+    best, scored = topk_search.threshold_topk(x, ids, order, q, -1)
+    none, fewer = topk_search.threshold_topk(x, ids, order, q, -1, floor_score=best[0][0] + 1)
+    assert not none and fewer < scored
+    tied, _ = topk_search.threshold_topk(x, ids, order, q, -1, floor_score=best[3][0])
+    assert tied == best[: len(tied)] and len(tied) >= 4
+
+
+def test_topk_of_a_hot_id_and_clashing_columns(spark):
+    """One id holds a third of the rows, most of them equal; extra columns have its names."""
+    rnd = random.Random(6)
+    v = [(i, [float(rnd.randint(-3, 3)) for _ in range(3)]) for i in range(1, 60)] + [(7, [1.0, 2.0, 3.0])] * 25 + [(0, [2.0, 1.0, 1.0]), (100, [1.0, 0.0, -2.0])]
+    df = spark.createDataFrame(v, "vec_id bigint, embedding array<float>").select("*", *[F.lit(1).alias(c) for c in ("place", "key", "a", "b", "copies", "score", "rank")])
+    got = topk_search.top_k(df, df.where("vec_id % 100 = 0"), block=8).collect()
+    want = []
+    for q in (0, 100):
+        (e,) = (e for i, e in v if i == q)
+        scored = sorted((-sum(int(1024 * x) * int(1024 * y) for x, y in zip(e, w)), i) for i, w in v if i != q)[:10]
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scored)]
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_topk_of_repeated_query_rows(spark):
     """Each of three rows of query 0, two of them equal, has its own ten candidates."""
     rows = [(i, [float(i % 7), float(i)]) for i in range(1, 40)]
@@ -354,6 +496,41 @@ def test_simhash_links_of_planted_prints(spark):
     assert {r.doc_id: r.component_id for r in simhash.group_by_fingerprint(df).collect()} == brute_groups(prints)
 
 
+def test_simhash_links_in_full_segments(spark):
+    """Hundreds of prints that share one segment, in clusters: the bucket is looked up by both."""
+    rnd = random.Random(16)
+    prints, n = {}, 0
+    for half in (0, 32):
+        fixed = rnd.getrandbits(32) << half
+        for _ in range(12):
+            x = rnd.getrandbits(32)
+            for _ in range(20):
+                y = x
+                for _ in range(rnd.randint(0, 3)):
+                    y ^= 1 << rnd.randrange(32)
+                prints[n] = fixed | y << (32 - half)
+                if rnd.random() < 0.3:
+                    prints[n] ^= 1 << rnd.randrange(64)
+                n += 7
+    df = spark.createDataFrame([(i, simhash.signed(p)) for i, p in prints.items()], "doc_id bigint, fp bigint")
+    assert {r.doc_id: r.component_id for r in simhash.group_by_fingerprint(df).collect()} == brute_groups(prints)
+    distinct = df.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    few = simhash.links(distinct, full=1 << 20).collect()
+    want = {tuple(sorted((a, b))) for a in prints.values() for b in prints.values() if a < b and (a ^ b).bit_count() <= 2}
+    assert {tuple(sorted((r.a % (1 << 64), r.b % (1 << 64)))) for r in few} == want
+
+
+def test_gram_hashes():
+    """Equal shingles and only those have equal hashes."""
+    rnd = random.Random(18)
+    for k in (1, 3, 5):
+        w = [rnd.choice("ABcd") for _ in range(3000)]
+        h = simhash.gram_hashes(" ".join(w).encode(), k)
+        grams = [tuple(x.lower() for x in w[i : i + k]) for i in range(len(w) - k + 1)]
+        assert len(h) == len(grams) and len(set(zip(h.tolist(), grams))) == len(set(grams)) == len(set(h.tolist()))
+    assert len(simhash.gram_hashes(b"a b", 5)) == 1 and not len(simhash.gram_hashes(b" \t", 5))
+
+
 def test_near_duplicates_at_0_8(spark):
     rnd = random.Random(9)
     word = lambda: "w" + str(rnd.randint(0, 5000))
@@ -436,6 +613,29 @@ def test_languages(spark):
     assert sum(held) / len(held) > 0.97
 
 
+def test_a_language_of_one_repeated_text_is_learned(spark):
+    """Copies count once: whatever their hash, the text's language has a dictionary."""
+    for text in ("le chat est sur la table et le chien dort", "une phrase tout autre, sans fin", "bonjour à tous les gens ici"):
+        rows = [(i, text, "fr") for i in range(800)] + [(10_000 + i, f"the cat sat on mat number {i} and the dog slept", "en") for i in range(800)]
+        df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+        model = language_id.fit(df, docs_per_lang=20)
+        assert model.dictionaries["fr"] == language_id.letters(text)
+        assert model.predict(text)[0] == "fr"
+
+
+def test_dictionaries_come_from_whole_texts(spark):
+    """A long text gives passages from its beginning to its end, a short one all it has."""
+    long = " ".join(f"wort{chr(97 + i // 26 % 26)}{chr(97 + i % 26)}{chr(97 + i // 676 % 26)}" for i in range(17_000))
+    df = spark.createDataFrame([(1, long, "de"), (2, "kurz und gut", "de")], "doc_id bigint, text string, lang string")
+    made = language_id.fit(df, dict_bytes=4096).dictionaries["de"]
+    assert b"kurz und gut" in made and 3500 < len(made) < 4700
+    data = language_id.letters(long)
+    cut = language_id.passages(data, 4000)
+    places = [data.index(cut[i : i + 160]) for i in range(0, len(cut), 161)]
+    assert places[0] < 0.05 * len(data) and places[-1] > 0.9 * len(data) and len(places) == 25
+    assert language_id.level([10, 50, 100], 90) == 40 and language_id.level([1, 2], 100) == 2
+
+
 def brute_leaks(texts, items):
     """Documents and items with a window of the item's size at similarity 0.8 or more."""
     out = set()
@@ -486,6 +686,56 @@ def test_decontamination_of_edited_passages(spark):
     assert kept == set(made) - {d for d, _ in found}
 
 
+def test_index_fetches_all_within_the_radius():
+    """Every pair within the radius is fetched and no other; the tables select."""
+    rng = np.random.default_rng(9)
+    items = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
+    sized = decontamination.Sized(10, [(i, np.array([p], np.uint64)) for i, p in enumerate(items)])
+    windows = rng.integers(0, 1 << 63, 500, dtype=np.uint64)
+    for i in range(400):
+        flips = rng.choice(64, rng.integers(0, 24), replace=False)
+        windows[i] = items[i % 300] ^ np.bitwise_or.reduce(np.uint64(1) << flips.astype(np.uint64)) if len(flips) else items[i % 300]
+    w, i = sized.candidates(windows)
+    far = np.bitwise_count(windows[:, None] ^ items[None, :])
+    assert set(zip(w.tolist(), i.tolist())) == set(zip(*map(np.ndarray.tolist, np.nonzero(far <= decontamination.RADIUS))))
+    share = np.mean([len(x) for b in sized.fetched for x in b.values()]) / len(items)
+    assert share < 0.05 and len(sized.radii) * share < 0.2
+
+
+def test_what_decontamination_loses_is_beyond_the_radius(spark):
+    """Edited passages at or above the threshold: recall, and why the rest is lost."""
+    rnd = random.Random(28)
+    word = lambda: "w" + str(rnd.randint(0, 50_000))
+    items = {i: " ".join(word() for _ in range(rnd.choice([30, 50, 80, 120]))) for i in range(60)}
+    made = {}
+    for d in range(240):
+        p = items[d % 60].split()
+        for at in rnd.sample(range(len(p)), max(1, len(p) // 50)):
+            p[at] = word()
+        made[d] = " ".join([word() for _ in range(10)] + p + [word() for _ in range(10)])
+    bench = spark.createDataFrame(list(items.items()), "item_id bigint, text string")
+    found = {(r.doc_id, r.item_id) for r in decontamination.find_leaks(docs_of(spark, list(made.values())), bench).collect()}
+    want = brute_leaks(made, items)
+    assert found <= want and len(found) >= 0.99 * len(want)
+    for d, i in want - found:
+        h, own = simhash.gram_hashes(made[d].encode(), 5), simhash.gram_hashes(items[i].encode(), 5)
+        m, goal = len(own), simhash.majority(own)
+        for a in range(len(h) - m + 1):
+            both = sum((Counter(h[a : a + m].tolist()) & Counter(own.tolist())).values())
+            assert both / (2 * m - both) < 0.8 or (simhash.majority(h[a : a + m]) ^ goal).bit_count() > decontamination.RADIUS
+
+
+def test_repeated_items_and_long_runs(spark):
+    """Each id of a repeated item is reported, and a hit that chunks of windows share, once."""
+    item = " ".join(f"q{i % 7}" for i in range(100))
+    bench = spark.createDataFrame([(1, item), (2, item), (None, item), (3, "other words")], "item_id bigint, text string")
+    docs = docs_of(spark, [" ".join(f"q{i % 7}" for i in range(9000)), "nothing here"])
+    got = decontamination.find_leaks(docs, bench).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(0, 1), (0, 2), (0, None)}
+    starts = sorted(r.start_word for r in got if r.item_id == 1)
+    assert all(b - a >= 96 for a, b in zip(starts, starts[1:])) and len(starts) == len(set(starts))
+
+
 def test_item_blocks(spark, monkeypatch):
     monkeypatch.setattr(decontamination, "BLOCK_ITEMS", 4)
     bench = spark.createDataFrame([(i, " ".join(f"u{i}x{j}" for j in range(9))) for i in range(12)], "item_id bigint, text string")
@@ -516,6 +766,27 @@ def test_awkward_rows(spark, sf_dir):
     assert decontamination.clean_documents(df, bench).count() == n - 3
 
 
+def test_batches_are_bounded_by_bytes(spark):
+    """Texts of 1 MB reach Python few at a time, and no setting of the session changes."""
+    from weir.llm import common
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    df = spark.range(0, 200, 1, 2).select(F.col("id").alias("doc_id"), F.concat(F.lit("token = abcdef123 "), F.repeat(F.lit("lorem ipsum "), 90_000)).alias("text"))
+    seen = common.map_rows(df, lambda ids, texts: {"n": [len(ids)], "b": [sum(map(len, texts))]}, "n int, b bigint").collect()
+    assert sum(r.n for r in seen) == 200 and max(r.b for r in seen) <= common.BATCH_BYTES
+    assert secrets.find_secrets(df).where("size(spans) = 1").count() == 200
+    assert spark.conf.get(key) == before
+
+
+def test_stored_tables_are_the_application_s_own(spark, tmp_path):
+    from weir.llm import common
+
+    df = common.materialize(spark.range(3), "own")
+    assert spark.sparkContext.applicationId in df.inputFiles()[0]
+    assert df.count() == 3
+
+
 def test_empty_tables(spark):
     df, vectors = nothing(spark), spark.createDataFrame([], "vec_id bigint, embedding array<float>")
     bench, pages = spark.createDataFrame([], "item_id bigint, text string"), spark.createDataFrame([], "page_id bigint, url string")
