@@ -109,6 +109,7 @@ def map_rows(df: DataFrame, fn: Callable[..., dict[str, list]], schema: StructTy
     arrow = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.set_memory_pool(pa.system_memory_pool())  # gives large batches back at once
         for batch in batches:
             for part in parts_of(batch, batch_rows, batch_bytes):
                 got = fn(*[c.to_pylist() for c in part.columns])
