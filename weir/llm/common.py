@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+BATCH_BYTES = 8 << 20
 PACKAGE = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
@@ -44,13 +46,41 @@ def shared_path(spark: SparkSession, tag: str) -> str:
     return f"{own_folder(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
+#: While a table is written here, Spark sends Python no more than this at once.
+STORE_BATCH = {"spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES), "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: lineage ends there,
     and a lost executor costs nothing but the tasks that it was running."""
     spark = df.sparkSession
     path = shared_path(spark, tag)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = {k: spark.conf.get(k, None) for k in STORE_BATCH}
+    try:
+        for k, v in STORE_BATCH.items():
+            spark.conf.set(k, v)
+        df.write.parquet(path)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def drop(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete tables that materialize() wrote and that nothing reads any more."""
+    for table in tables:
+        path = spark._jvm.org.apache.hadoop.fs.Path(table.stored_at)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def discard(spark: SparkSession, *tables: DataFrame) -> None:
+    """drop(), and collect the driver's garbage: only then does Spark delete the shuffle
+    files of plans that are gone."""
+    drop(spark, *tables)
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def drop_materialized(spark: SparkSession) -> None:
@@ -76,9 +106,6 @@ def ship(spark: SparkSession) -> None:
     context._weir_shipped = True
 
 
-BATCH_BYTES = 8 << 20
-
-
 def parts_of(batch: pa.RecordBatch, rows: int, size: int) -> Iterator[pa.RecordBatch]:
     """The batch in slices of at most `rows` rows and `size` bytes, or of one row."""
     todo = [batch.slice(at, rows) for at in range(0, batch.num_rows, rows)][::-1]

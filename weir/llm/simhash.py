@@ -12,7 +12,7 @@ A segment that more than `FULL` fingerprints share would be quadratic; there the
 is by both segments: the ball of the other segment is enumerated too, so a bucket has
 at most 33 members, and neighbours in its order are linked, which connects what all
 its links connect. Nothing is left out. Components come from alternating large-star and
-small-star rounds, each cut off by checkpoint().
+small-star rounds, each cut off by a stored table.
 
 Null and empty texts have fingerprint 0 and are linked like any other. Very long texts
 are read whole. Null ids take part; the smallest id that is not null names the component.
@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weir.llm.common import map_rows, materialize, read_table, shared_dir, text_bytes
+from weir.llm.common import discard, drop, map_rows, materialize, read_table, text_bytes
 
 SEED = 42
 RADIUS = 2
@@ -127,23 +127,27 @@ def links(distinct: DataFrame, full: int = FULL) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node with an edge; root is the least node it reaches.
 
-    Large-star and small-star rounds: each ends in a checkpoint, and the number of rounds
-    grows with the logarithm of a component's size. Minima are checkpointed before they are
-    joined, so the join reads two exchanges and Spark can split a node of many edges.
+    Large-star and small-star rounds: each ends in a stored table, and the number of rounds
+    grows with the logarithm of a component's size. Minima are stored before they are
+    joined, so the join reads two exchanges and Spark can split a node of many edges. What
+    a round leaves behind is deleted.
     """
-    shared_dir(edges.sparkSession)
+    spark = edges.sparkSession
     digest = (F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h"))
-    edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct().checkpoint()
+    edges = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
     last = edges.agg(*digest).first()
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")).checkpoint()
+        least = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m")).checkpoint()
+        low = materialize(large.groupBy("a").agg(F.min("b").alias("m")), "low")
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
-        edges = small.distinct().checkpoint()
-        now = edges.agg(*digest).first()
+        new = materialize(small.distinct(), "edges")
+        now = new.agg(*digest).first()
+        drop(spark, edges, least, low)
+        edges = new
         if now == last:
+            discard(spark)
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
         last = now
 
@@ -184,12 +188,17 @@ def prefix(shingles: np.ndarray, common: np.ndarray, similarity: float) -> list[
     return held.view(np.int64).tolist()
 
 
-def parities(shingles: np.ndarray) -> list[int]:
-    """Four words of 64 bits: each shingle of the set flips one of the 256."""
-    odd = np.bincount((shingles & np.uint64(64 * WIDE - 1)).astype(np.int64), minlength=64 * WIDE) & 1
+def parities(shingles: np.ndarray, bits: int = 64 * WIDE) -> list[int]:
+    """Words of 64 bits: each shingle of the set flips one bit of all."""
+    odd = np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
 
 
+def print_bits(n: int) -> int:
+    """Bits of the long print of a set: a power of two, no fewer than its shingles."""
+    return 64 * WIDE << max(0, (n - 1) // (64 * WIDE)).bit_length()
+
+
 def common_shingles(rows: DataFrame, shingle: int) -> np.ndarray:
     """The COMMON most frequent shingles of a sample of the texts, sorted. They only set
     the order of shingles, which any choice keeps exact: rare ones make small buckets."""
@@ -205,6 +214,20 @@ def differing(p: str, q: str, wide: list[str]) -> F.Column:
     return sum((F.bit_count(F.col(f"{p}.{f}").bitwiseXOR(F.col(f"{q}.{f}"))) for f in wide), F.lit(0))
 
 
+def long_differing(p: str, q: str) -> F.Column:
+    """The same of long prints; one of twice the bits is folded onto the other's."""
+
+    def xor(x: F.Column, y: F.Column) -> F.Column:
+        return F.zip_with(x, y, lambda a, b: a.bitwiseXOR(b))
+
+    def folded(x: F.Column, to: F.Column) -> F.Column:
+        half = F.size(x).cast("int") / 2
+        return F.when(F.size(x) > F.size(to), xor(F.slice(x, F.lit(1), half.cast("int")), F.slice(x, half.cast("int") + 1, half.cast("int")))).otherwise(x)
+
+    a, b = F.col(p), F.col(q)
+    return F.aggregate(xor(folded(a, b), folded(b, a)), F.lit(0), lambda n, x: n + F.bit_count(x))
+
+
 def members(ids: DataFrame, column: str, most: int = FILTER_BITS) -> np.ndarray:
     """A bitmap of the hashed ids: a filter without false negatives. It has 16 bits for
     each id and never more than `most` (32 MB), beyond which it lets more through. One
@@ -255,7 +278,9 @@ def at_least(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, shingle: int,
                 keep.append(i)
         return {"a": [a[i] for i in keep], "b": [b[i] for i in keep]}
 
-    return map_rows(both.select("a", "b", "ta", "tb"), fn, "a bigint, b bigint")
+    out = materialize(map_rows(both.select("a", "b", "ta", "tb"), fn, "a bigint, b bigint"), "similar")
+    discard(rows.sparkSession, texts)
+    return out
 
 
 def fits(p: str, q: str, similarity: float) -> F.Column:
@@ -266,12 +291,15 @@ def fits(p: str, q: str, similarity: float) -> F.Column:
 
 def open_members(shared: DataFrame, edges: DataFrame, tag: str) -> DataFrame:
     """The members of buckets that the edges do not yet join to one component: key, p with
-    its root, and the number of members."""
+    its root, lead and the number of members."""
+    spark = shared.sparkSession
     roots = materialize(components(edges), "roots")
-    rooted = shared.join(roots, F.col("p.node") == roots.node, "left").select("key", "share", F.struct("p.*", F.coalesce("root", "p.node").alias("root")).alias("p"))
+    rooted = shared.join(roots, "node", "left").select("key", "share", F.struct("node", "n", "pos", F.coalesce("root", "node").alias("root")).alias("p"))
     spread = rooted.groupBy("key").agg(F.min("p.root").alias("low"), F.max("p.root").alias("high"), F.count(F.lit(1)).alias("size"), F.max(F.struct("share", "p")).alias("lead"))
     spread = materialize(spread.where("low < high").select("key", "size", F.col("lead.p").alias("lead")), f"{tag}-buckets")
-    return materialize(rooted.join(spread, "key").select("key", "p", "lead", "size"), tag)
+    out = materialize(rooted.join(spread, "key").select("key", "p", "lead", "size"), tag)
+    discard(spark, roots, spread)
+    return out
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -283,25 +311,34 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     before it, in the second with the member that shares most of its prefix, which is the
     original of a star of copies. The third compares every pair of a bucket that earlier
     links do not join already, in blocks; so dense groups cost few pairs, and no pair
-    that could add a link goes unseen. Pairs are left out only by bounds that hold, of
-    places in the prefix and of parities; the others have their shingles compared. Texts without words are copies of each other.
+    that could add a link goes unseen. Pairs are left out only by bounds that hold: by
+    places in the prefix, by parities in 256 bits, then by parities in as many bits as
+    there are shingles. The others have their shingles compared. Texts without words are
+    copies of each other.
     """
+    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_bytes(text_col).alias("text")).where("doc_id is not null")
-    common = docs.sparkSession.sparkContext.broadcast(common_shingles(rows, shingle))
+    common = spark.sparkContext.broadcast(common_shingles(rows, shingle))
     wide = [f"f{i}" for i in range(WIDE)]
 
     def fn(ids, texts):
         sets = [np.unique(gram_hashes(t, shingle)) for t in texts]
         prints = [parities(h) for h in sets]
         out = {"doc_id": ids, "node": [set_digest(h) for h in sets], "n": [len(h) for h in sets], "keys": [prefix(h, common.value, similarity) for h in sets]}
+        out["long"] = [parities(h, print_bits(len(h))) for h in sets]
         return out | {f: [w[i] for w in prints] for i, f in enumerate(wide)}
 
-    prints = materialize(map_rows(rows, fn, "doc_id bigint, node bigint, n int, keys array<bigint>, " + ", ".join(f"{f} bigint" for f in wide)), "wide-prints")
-    nodes = materialize(prints.groupBy("node").agg(F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ("n", "keys", *wide)]), "wide-nodes")
-    tables = nodes.select("node", "n", F.size("keys").alias("keys"), F.posexplode("keys").alias("pos", "key")).select("key", "keys", F.struct("node", "n", "pos").alias("p"))
-    order = Window.partitionBy("key").orderBy("p.node")
-    met = tables.select("key", "keys", "p", F.lag("p").over(order).alias("before"), F.lead("p").over(order).alias("after"), F.first("p").over(order).alias("first"))
-    met = materialize(met.where("before is not null or after is not null").drop("after"), "met")
+    made = materialize(map_rows(rows, fn, "doc_id bigint, node bigint, n int, keys array<bigint>, long array<bigint>, " + ", ".join(f"{f} bigint" for f in wide)), "wide-prints")
+    prints = materialize(made.select("doc_id", "node"), "holders")
+    nodes = materialize(made.groupBy("node").agg(F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ("n", "keys", "long", *wide)]), "wide-nodes")
+    discard(spark, made)
+    tables = nodes.select("node", "n", F.posexplode("keys").alias("pos", "key")).select("key", "node", F.shiftleft(F.col("n").cast("bigint"), 32).bitwiseOR(F.col("pos").cast("bigint")).alias("at"))
+    order = Window.partitionBy("key").orderBy("node")
+    met = tables.select("key", "node", "at", *[f(c).over(order).alias(f"{tag}_{c}") for tag, f in (("before", F.lag), ("first", F.first)) for c in ("node", "at")], F.lead("node").over(order).alias("after"))
+    met = materialize(met.where("before_node is not null or after is not null").drop("after"), "met")
+
+    def member(node: str, at: str) -> F.Column:
+        return F.struct(F.col(node).alias("node"), F.shiftright(at, 32).cast("int").alias("n"), F.col(at).bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("pos"))
 
     def links_of(pairs: DataFrame, tag: str) -> DataFrame:
         """The pairs (p, q) that are similar enough, as edges."""
@@ -309,24 +346,39 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
         for side in ("a", "b"):
             pairs = pairs.join(nodes.select(F.col("node").alias(side), F.struct("n", *wide).alias(f"p{side}")), side)
         alone = (1 - similarity) / (1 + similarity) * (F.col("pa.n") + F.col("pb.n")) + 1e-6
-        near = materialize(pairs.where(differing("pa", "pb", wide) <= alone).select("a", "b"), f"{tag}-pairs")
-        return materialize(at_least(near, rows, nodes, shingle, similarity), f"{tag}-links")
-
-    edges = links_of(met.where("before is not null").select("p", F.explode(F.array_distinct(F.array("before", "first"))).alias("q")), "neighbour")
-    shares = materialize(met.groupBy("p.node").agg((F.count(F.lit(1)) / F.first("keys")).alias("share")), "shares")
-    shared = materialize(met.join(shares, F.col("p.node") == shares.node).select("key", "p", "share"), "shared")
+        few = materialize(pairs.where(differing("pa", "pb", wide) <= alone).select("a", "b", alone.alias("alone")), f"{tag}-few")
+        near = few
+        for side in ("a", "b"):
+            near = near.join(nodes.select(F.col("node").alias(side), F.col("long").alias(f"p{side}")), side)
+        near = materialize(near.where(long_differing("pa", "pb") <= F.col("alone")).select("a", "b"), f"{tag}-pairs")
+        out = at_least(near, rows, nodes, shingle, similarity)
+        discard(spark, few, near)
+        return out
+
+    neighbours = F.explode(F.array_distinct(F.array(member("before_node", "before_at"), member("first_node", "first_at"))))
+    edges = links_of(met.where("before_node is not null").select(member("node", "at").alias("p"), neighbours.alias("q")), "neighbour")
+    # A set of n shingles has a prefix of n - ceil(similarity * n) + 1: the share of it that others hold.
+    kept = F.shiftright(F.first("at"), 32)
+    shares = materialize(met.groupBy("node").agg((F.count(F.lit(1)) / (kept - F.ceil(similarity * kept - 1e-6) + 1)).alias("share")), "shares")
+    shared = materialize(met.join(shares, "node").select("key", "node", F.shiftright("at", 32).cast("int").alias("n"), F.col("at").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("pos"), "share"), "shared")
+    discard(spark, met, shares)
     left = open_members(shared, edges, "led")
     edges = edges.unionByName(links_of(left.where("p.root <> lead.root").select("p", F.col("lead").alias("q")), "leader"))
+    discard(spark, left)
     left = open_members(shared, edges, "rest")
+    discard(spark, shared)
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     one = left.select("key", F.pmod(F.xxhash64("p.node"), blocks).cast("int").alias("block"), "p")
     other = left.select("key", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.col("p").alias("q"))
     edges = edges.unionByName(links_of(one.join(other, ["key", "block"]).where("p.node > q.node and p.root <> q.root"), "rest"))
+    discard(spark, left)
     roots = components(edges)
     named = nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     named = materialize(named, "named")
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints.select("doc_id", "node").join(materialize(named.join(least, "root").select("node", "component_id"), "components"), "node").select("doc_id", "component_id")
+    of_node = materialize(named.join(least, "root").select("node", "component_id"), "components")
+    discard(spark, nodes, named)
+    return prints.join(of_node, "node").select("doc_id", "component_id")
 
 
 def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id") -> DataFrame:
