@@ -17,6 +17,7 @@ from weir.sources.jsonl import read_events, read_ocsf, read_raw
 from weir.sources.records import frame_files, frame_lines, read_lines, read_records
 
 INGEST = "2026-10-01T00:00:00+00:00"
+# Inputs of one line a format, whose parsed fields must equal those known for them.
 SIX = {
     "checkpoint.log": b"src=1.1.1.1 dst=2.2.2.2 action=Drop\n",
     "cisco.log": b"<166>Sep 27 10:30:12 fw1 : %ASA-6-302013: Built outbound TCP connection 224811914 for outside:10.0.0.1/80 to inside:192.168.10.5/53421 user jdoe\nthis is not a log\n",

@@ -16,7 +16,7 @@ from pyspark.sql import SparkSession
 from weir.onboard import client as C
 from weir.onboard.generator import profile, propose, with_route
 from weir.onboard.samples import read_samples
-from weir.onboard.validator import Report, validate, validate_schema_only
+from weir.onboard.validator import Verdict, validate, validate_schema_only
 
 GENERATOR = "weir.onboard"
 
@@ -54,13 +54,13 @@ def record(folder: str, vendor: str, seconds: float, score: float) -> str:
     return path
 
 
-def show(config: dict | None, report: Report) -> None:
+def show(config: dict | None, report: Verdict) -> None:
     print(json.dumps(config, indent=2, ensure_ascii=False) if config else "(no config)")
-    print(f"ok {report.ok}, score {report.score}, matched {report.match_rate:.0%}, required {report.required_field_rate:.0%}")
+    print(f"ok {report.ok}, score {report.score}, matched {report.read:.0%}, required {report.filled:.0%}")
     if not report.ok:
-        print(report.error_summary())
-    for i, r in enumerate(report.per_line, 1):
-        print(f"{i}. {'matched' if r.matched else 'no match'}{' missing ' + ', '.join(r.missing_required) if r.missing_required else ''}: {r.line[:80]}")
+        print(report.text())
+    for i, r in enumerate(report.lines, 1):
+        print(f"{i}. {'matched' if r.read else 'no match'}{' missing ' + ', '.join(r.lacks) if r.lacks else ''}: {r.line[:80]}")
 
 
 def approved(auto: bool) -> bool:

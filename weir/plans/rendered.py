@@ -32,10 +32,10 @@ _JSON = f"""'{{"ts":"' || {{D}} || 'T' || {{T}} || '","client":{{"sip":"' || {_S
 
 _SHAPES = (_ASA, _FORTI, _CEF, _EVE, _SSHD, _CHECK, _PARTIAL, _LEEF, _JSON)
 _DAMAGE = (
-    "substr('this is not a log, offset ' || event_id || ' zzz qqq xkcd', 1, 12 + CAST(event_id % 30 AS INT))",
-    "'{\"timestamp\":\"broken, \"event_type\": alert src_ip:10.0.0.' || (event_id % 250 + 1)",
-    "'Palo Alto Networks|PanOS|10.1|1|THREAT|5|src=' || " + _SRC + " || ' port 8443 tcp dropped'",
-    "'###GARBLED### xzqjv frame without any number'",
+    "substr('half a sentence about record ' || event_id || ' and no more of it', 1, 12 + CAST(event_id % 30 AS INT))",
+    "'{\"sent\":\"never closed, \"by\": worker host:192.0.2.' || (event_id % 250 + 1)",
+    "'Acme Gates|Barrier|7|2|SHUT|3|src=' || " + _SRC + " || ' port 9443 tcp stopped'",
+    "'~~~NOISE~~~ qwrty letters without any number'",
 )
 LINE = "CASE WHEN event_id % 97 = 0 THEN CASE event_id % 388 " + " ".join(f"WHEN {97 * i} THEN {d}" for i, d in enumerate(_DAMAGE)) + " END ELSE CASE event_id % 9 " + " ".join(f"WHEN {i} THEN {s}" for i, s in enumerate(_SHAPES)) + " END END"
 SOURCE = "'events-' || (event_id % 3) || '.log'"
