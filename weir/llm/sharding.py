@@ -5,7 +5,12 @@ slot, a versioned map says which shard owns each slot, and rebalancing edits the
 and never the hash. The number of slots is a parameter, so what reaches the driver (a
 row for each slot) and what is broadcast (the map) have a bound that no input changes.
 
-Null ids and null texts are hashed like any value; a null text has size `overhead`.
+Copies of a text are a group that may hold a third of all rows. Sizes are to be near
+equal, so copies are not kept together: the id is hashed too, which spreads them over all
+slots. Only rows equal in id and text share a slot.
+
+Null ids and null texts are hashed like any value; a null text has size `overhead`. Very
+long texts only weigh more. Ties of places go by id, checksum and size.
 An empty table gives an empty result. Extra columns are ignored. Repeated rows are
 rows of their own; each has its own place.
 """
