@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from weir.plans.normalize import normalize
 from weir.plans.rendered import records
 from weir.queries import QUERIES
+from weir.sources.records import records_of
 
 
 def plan(df) -> str:
@@ -39,3 +40,20 @@ def test_stored_events_are_filtered_at_the_scan(spark, sf_dir, tmp_path):
     normalize(records(spark, sf_dir)).write.parquet(str(tmp_path / "e"))
     p = plan(spark.read.parquet(str(tmp_path / "e")).where(F.col("parse_parser") == "cef").select("network_src_ip"))
     assert "EqualTo(parse_parser,cef)" in p
+
+
+def test_a_filter_on_the_file_reaches_the_scan(spark, tmp_path):
+    spark.createDataFrame([("a", 1, "src=1.1.1.1 dst=2.2.2.2 action=x")], "source_file string, seq bigint, line string").write.parquet(str(tmp_path / "l"))
+    e = normalize(records_of(spark.read.parquet(str(tmp_path / "l"))))
+    found = e.where("source_file = 'a' and parse_parser = 'checkpoint'")
+    assert "EqualTo(source_file,a)" in plan(found) and found.count() == 1
+
+
+def test_whole_stages_compile(spark, sf_dir, capfd):
+    spark.sparkContext.setLogLevel("WARN")
+    try:
+        for name in ("frame_continuations", "quality_by_source", "mode_vote"):
+            QUERIES[name](spark, sf_dir).count()
+    finally:
+        spark.sparkContext.setLogLevel("ERROR")
+    assert "64 KB" not in capfd.readouterr().err

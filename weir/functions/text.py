@@ -7,7 +7,7 @@ Absent groups and empty matches are NULL here; sinks write them as empty strings
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FLAGS = "(?dU)"
@@ -119,8 +119,12 @@ def digits(c: Column) -> Column:
     return F.when(c.rlike(r"\A\d+\z"), c.try_cast("int"))
 
 
-def fence(c: Column) -> Column:
-    """c as it is, but evaluated where it stands: the optimizer neither copies it into
-    the columns above that read it nor pushes filters on it below. Without a fence a filter
-    on one field of a parsed line would carry the whole parser along for each mention."""
-    return F.when(F.monotonically_increasing_id() >= 0, c)
+def fenced(df: DataFrame, name: str, c: Column) -> DataFrame:
+    """df with column `name` = c, evaluated where it stands: the optimizer neither copies c
+    into the columns above that read it nor pushes filters on it below. Without a fence a
+    filter on one field of a parsed line would carry the whole parser along for each mention.
+
+    The fence is a generator of one row for each row. It is deterministic, so filters on the
+    other columns pass it and reach the scan."""
+    held = df.withColumn(f"_{name}", c)
+    return held.withColumn(name, F.explode(F.array(f"_{name}"))).drop(f"_{name}")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weir.functions.text import as_text, fence, get, group, is_object, is_scalar, matches, strict_object
+from weir.functions.text import as_text, fenced, get, group, is_object, is_scalar, matches, strict_object
 from weir.operators.generic import LEEF
 from weir.operators.vendors import CEF
 
@@ -141,7 +141,7 @@ def tokenize(df: DataFrame, text: str, out: str = "tokens", when: Column | None
         .when(header.isNull() & (F.size(kv) >= 2), token("kv", kv)).when(flow.isNotNull(), token("rt_flow", flow))
         .when(router.isNotNull(), token("mikrotik", router)).otherwise(token("regex", head))
     )
-    return df.withColumn(out, fence(F.when(F.col("_tt").isNotNull(), picked))).drop("_tt", "_th", "_tb", "_tf")
+    return fenced(df, out, F.when(F.col("_tt").isNotNull(), picked)).drop("_tt", "_th", "_tb", "_tf")
 
 
 def flow_projection(tokens: Column) -> Column:

@@ -7,7 +7,7 @@ from datetime import datetime, timezone
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weir.functions.text import empty_to_null, fence, strict_object
+from weir.functions.text import empty_to_null, fenced, strict_object
 from weir.operators.detect import detect_format, vendor_hints
 from weir.operators.dynamic import DynamicConfig, add_dynamic
 from weir.operators.generic import generic
@@ -56,7 +56,7 @@ def parse(df: DataFrame, text: str = "raw_text", mappings: dict[str, Mapping] |
     df = df.withColumn("_taken", taken)
     df = df.withColumn("hints", F.when(F.col("_taken").isNull(), vendor_hints(line, F.col("fmt"), F.col("_json"))))
     df = generic(df, text, F.col("_taken").isNull(), "hints", "_generic")
-    return df.withColumn("parsed", fence(F.coalesce("_taken", "_generic", failed()))).drop(*STAGED, "_vendor", "_dynamic", "_taken", "_generic")
+    return fenced(df, "parsed", F.coalesce("_taken", "_generic", failed())).drop(*STAGED, "_vendor", "_dynamic", "_taken", "_generic")
 
 
 def event_columns(df: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weir.functions.text import fence, get, pairs, strict_object
+from weir.functions.text import fenced, get, pairs, strict_object
 from weir.functions.tokenize import flatten_object, quoted_pairs, split_header, strip, tokenize
 from weir.operators import explore, integrity, ocsf, quality
 from weir.operators.detect import detect_format, vendor_hints
@@ -260,8 +260,8 @@ def verify_crosscheck(spark, sf_dir):
   SELECT source_file, row_number() OVER (PARTITION BY source_file ORDER BY g) - 1 AS seq, sha256(text) AS raw_hash FROM r""")
 def frame_continuations(spark, sf_dir):
     line = F.when((F.col("event_id") % 5).isin(1, 2), F.concat(F.lit(" at "), F.col("event_id").cast("string"))).otherwise(F.col("line"))
-    df = lines(spark, sf_dir).select(F.col("source_file").alias("file"), F.floor(F.col("event_id") / 1000).cast("bigint").alias("split"), F.col("event_id").alias("at"), line.alias("value"))
-    return frame_lines(df).select("source_file", "seq", F.sha2("raw_bytes", 256).alias("raw_hash"))
+    df = lines(spark, sf_dir).select(F.col("source_file").alias("file"), F.floor(F.col("event_id") / 1000).cast("bigint").alias("split"), F.col("event_id").alias("at"), line.alias("line"))
+    return frame_lines(fenced(df, "value", F.col("line")).drop("line")).select("source_file", "seq", F.sha2("raw_bytes", 256).alias("raw_hash"))
 
 
 @query(f"{O.OCSF} SELECT event_id, CASE WHEN time_ms > 0 THEN time_ms / 1000 END AS time_s FROM o")
@@ -325,7 +325,7 @@ def of_events(spark: SparkSession, sf_dir: str, line: str) -> DataFrame:
 def syslog_header(spark, sf_dir):
     df = lines(spark, sf_dir).where(F.col("line").startswith("<"))
     head = split_header(strip(F.col("line")))[0]
-    return df.withColumn("h", fence(head)).select("event_id", *[get(F.col("h"), f"syslog_{k}").alias(n) for k, n in (("pri", "pri"), ("timestamp", "ts"), ("host", "host"), ("app", "app"))])
+    return fenced(df, "h", head).select("event_id", *[get(F.col("h"), f"syslog_{k}").alias(n) for k, n in (("pri", "pri"), ("timestamp", "ts"), ("host", "host"), ("app", "app"))])
 
 
 _NESTED = """'{"a":{"b":{"c":{"d":{"e":' || event_id || ',"f":{"g":1}}}},"x":"' || event_type || '"},"l":[1,2],"t":true,"n":null,"v":' || (event_id % 7) || '.5}'"""
@@ -334,7 +334,7 @@ _NESTED = """'{"a":{"b":{"c":{"d":{"e":' || event_id || ',"f":{"g":1}}}},"x":"'
 @query(f"SELECT event_id, event_id::VARCHAR AS deep, event_type AS x, 'True' AS t, (event_id % 7) || '.5' AS v, CAST(4 AS INTEGER) AS n_keys FROM events")
 def json_flatten(spark, sf_dir):
     """Dotted keys five levels deep; lists, nulls and what lies deeper are left out."""
-    m = of_events(spark, sf_dir, _NESTED).withColumn("m", fence(flatten_object(strict_object(F.col("line")))))
+    m = fenced(of_events(spark, sf_dir, _NESTED), "m", flatten_object(strict_object(F.col("line"))))
     return m.select("event_id", *[get(F.col("m"), k).alias(n) for k, n in (("a.b.c.d.e", "deep"), ("a.x", "x"), ("t", "t"), ("v", "v"))], F.size("m").alias("n_keys"))
 
 
@@ -343,7 +343,7 @@ _QUOTED = """'k1="v ' || event_type || ' ' || chr(92) || '"' || user_id || chr(9
 
 @query("SELECT event_id, 'v ' || event_type || ' \"' || user_id || '\"' AS k1, event_id::VARCHAR AS k2, 'c' || chr(92) || 'n' AS k3 FROM events")
 def quoted_kv(spark, sf_dir):
-    m = of_events(spark, sf_dir, _QUOTED).withColumn("m", fence(quoted_pairs(F.col("line"))))
+    m = fenced(of_events(spark, sf_dir, _QUOTED), "m", quoted_pairs(F.col("line")))
     return m.select("event_id", *[get(F.col("m"), k).alias(k) for k in ("k1", "k2", "k3")])
 
 
