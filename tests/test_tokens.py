@@ -280,3 +280,84 @@ def test_live_ingest(spark, tmp_path):
     rows = read_events(spark, f"{target}/events.jsonl").collect()
     assert {r.network_src_ip for r in rows} == {"1.1.1.1", "10.0.0.9", "10.0.0.3", "10.0.0.4"}
     assert read_raw(spark, f"{target}/raw.jsonl").where(F.col("raw_text_lossy")).count() == 1
+
+
+def test_spool_segments(tmp_path):
+    from weir.streaming.syslog import Receiver, segments, spooled, trim
+
+    spool, start = str(tmp_path), {"at": 0, "segment": 0, "byte": 0}
+    r = Receiver("127.0.0.1", 0, spool, segment_bytes=200)
+    try:
+        for i in range(10):
+            r.add(b"message %d" % i, ("h", 1))
+        middle = r.offset()
+        for i in range(10, 25):
+            r.add(b"message %d" % i, ("h", 1))
+        end = r.offset()
+    finally:
+        r.close()
+    want = [("h:1", i, b"message %d" % i) for i in range(25)]
+    assert len(segments(spool)) == 3
+    assert list(spooled(spool, start, end)) == want and list(spooled(spool, middle, end)) == want[10:] and list(spooled(spool, end, end)) == []
+    trim(spool, middle)
+    assert list(spooled(spool, middle, end)) == want[10:] and segments(spool)[0] == middle["segment"]
+    with open(tmp_path / f"{end['segment']:020d}.jsonl", "ab") as f:
+        f.write(b'["cut')
+    r = Receiver("127.0.0.1", 0, spool, segment_bytes=200)
+    try:
+        assert r.offset() == end
+        r.add(b"message 25", ("h", 1))
+        assert [m[1] for m in spooled(spool, end, r.offset())] == [25]
+    finally:
+        r.close()
+
+
+def test_running_sums_count_a_repeated_batch_once(spark, tmp_path):
+    from weir.streaming.ingest import write_batch
+
+    def batch(n):
+        return spark.createDataFrame([("f", n * 10 + i, bytearray(b"src=1.1.1.%d dst=2.2.2.2 action=Drop k%d=1" % (n, i))) for i in range(n + 1)], "source_file string, seq bigint, raw_bytes binary")
+
+    target = str(tmp_path)
+    for n in (0, 1, 2, 2, 3):
+        write_batch(batch(n), n, target, year=2026)
+    assert json.load(open(f"{target}/quality.json"))["overall"]["total_events"] == 10
+    assert sorted(x for x in os.listdir(f"{target}/_quality") if x.startswith("batch=")) == ["batch=2", "batch=3"]
+
+
+def test_stored_events_find_their_files_and_later_raw_rows_count(spark, tmp_path):
+    from weir.operators.integrity import latest_raw
+    from weir.plans.batch import run
+    from weir.sources.jsonl import read_events, read_raw
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.log").write_text("".join(f"src=1.1.1.{i} dst=2.2.2.2 action=x\n" for i in range(40)))
+    (tmp_path / "in" / "b.log").write_text("zzz nothing\n" * 3)
+    out = str(tmp_path / "out")
+    run(spark, str(tmp_path / "in"), out, year=2026, ordered=True)
+    events = read_events(spark, f"{out}/events.jsonl", f"{out}/raw.jsonl")
+    assert {r.source_file: r["count"] for r in events.groupBy("source_file").count().collect()} == {"a.log": 40, "b.log": 3}
+    ids = lambda name, at: [[at(json.loads(x)) for x in open(p)] for p in sorted((tmp_path / "out" / name).glob("part-*"))]
+    raw = ids("raw.jsonl", lambda r: r["raw_event_id"])
+    assert raw == ids("events.jsonl", lambda r: r["event_id"]) == ids("ocsf.jsonl", lambda r: r["metadata"]["raw_event_id"])
+    assert [f for part in ids("raw.jsonl", lambda r: r["source_file"]) for f in part] == ["a.log"] * 40 + ["b.log"] * 3
+    (tmp_path / "twice").mkdir()
+    row = lambda h: json.dumps({"raw_event_id": "1", "raw_hash": h})
+    (tmp_path / "twice" / "1.jsonl").write_text(row("old") + "\n" + row("older") + "\n" * 2000)
+    (tmp_path / "twice" / "2.jsonl").write_text(row("new") + "\n")
+    assert latest_raw(read_raw(spark, str(tmp_path / "twice"))).first().kept_hash == "new"
+
+
+def test_pages_of_the_viewer_hold_every_match(spark):
+    import re
+
+    from weir.plans.normalize import normalize
+    from weir.sources.records import records_of
+    from weir.viewer import render
+
+    df = spark.createDataFrame([("f", i, f"src=1.1.1.{i} dst=2.2.2.2 action=Drop") for i in range(23)], "source_file string, seq bigint, line string")
+    events = normalize(records_of(df)).cache()
+    pages = [render(events, "1.1.1", n, rows=10) for n in (1, 2, 3, 99)]
+    got = [re.findall(r"<td>(1\.1\.1\.\d+)</td>", p) for p in pages]
+    assert got[0] + got[1] + got[2] == [f"1.1.1.{i}" for i in range(23)] and got[3] == got[2]
+    assert "23 matching, page 2 of 3" in pages[1] and "previous" in pages[1] and "next" not in pages[2]

@@ -62,7 +62,7 @@ def top_unmapped(rows: DataFrame, k: int = 5) -> DataFrame:
 
 
 def _ranked(keys: DataFrame, k: int) -> DataFrame:
-    counts = keys.groupBy("grp", "key").agg(F.sum("count").alias("count"), F.min("first").alias("first"))
+    counts = add_partials("keys", keys)
     whole = counts.groupBy("key").agg(F.sum("count").alias("count"), F.min("first").alias("first")).select(F.lit(1).alias("overall"), F.lit(None).cast("string").alias("grp"), "key", "count", "first")
     both = counts.select(F.lit(0).alias("overall"), "grp", "key", "count", "first").unionByName(whole)
     rank = F.row_number().over(Window.partitionBy("overall", "grp").orderBy(F.desc("count"), "first"))
@@ -77,6 +77,13 @@ def partials(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return groups, keys
 
 
+def add_partials(name: str, rows: DataFrame) -> DataFrame:
+    """Partial sums of several parts, `groups` or `keys`, as those of the whole."""
+    if name == "groups":
+        return rows.groupBy("grp").agg(*[F.sum(c).alias(c) for c in ("n", "ok", "partial", "failed", "core")])
+    return rows.groupBy("grp", "key").agg(F.sum("count").alias("count"), F.min("first").alias("first"))
+
+
 def report_of(groups: DataFrame, keys: DataFrame, k: int = 5) -> dict:
     """The report from partial sums; a row for each group and k keys of each reach the driver."""
     sums = groups.rollup("grp").agg(F.grouping("grp").alias("overall"), *[F.sum(c).alias(c) for c in ("n", "ok", "partial", "failed", "core")])

@@ -24,10 +24,16 @@ def stages(records: DataFrame, ingest_time: str | None = None, year: int | None
     return raw_rows(identified), events, to_ocsf(events, year)
 
 
-def run(spark: SparkSession, source: str, target: str, ingest_time: str | None = None, year: int | None = None, **options) -> dict:
+def run(spark: SparkSession, source: str, target: str, ingest_time: str | None = None, year: int | None = None, ordered: bool = False, **options) -> dict:
     """Write the three outputs and quality.json under target; returns the report. Ids and
-    hashes are functions of the input, so the outputs agree however often a task runs."""
-    raw, events, _ = stages(read_records(spark, source), ingest_time, year, **options)
+    hashes are functions of the input, so the outputs agree however often a task runs.
+
+    Ordered, the part files of each output hold the records by file and number, and line n
+    of a part is the same record in all three; that costs one shuffle of the input."""
+    records = read_records(spark, source)
+    if ordered:
+        records = records.repartitionByRange("source_file", "seq").sortWithinPartitions("source_file", "seq").persist(StorageLevel.DISK_ONLY)
+    raw, events, _ = stages(records, ingest_time, year, **options)
     events = events.persist(StorageLevel.DISK_ONLY)
     ocsf = to_ocsf(events, year)
     try:
@@ -37,6 +43,8 @@ def run(spark: SparkSession, source: str, target: str, ingest_time: str | None =
         report = build_report(events, year=year)
     finally:
         events.unpersist()
+        if ordered:
+            records.unpersist()
     write_text(spark, f"{target}/quality.json", report_json(report))
     return report
 
@@ -45,6 +53,14 @@ def verify_output(spark: SparkSession, target: str) -> dict:
     return verify(read_raw(spark, f"{target}/raw.jsonl"), read_events(spark, f"{target}/events.jsonl"))
 
 
+def parser_options(configs: str | None = None, mappings: str | None = None) -> dict:
+    """Options of `parse` from a folder of config-driven parsers and one of mappings."""
+    from weir.operators.dynamic import load_configs
+    from weir.plans.mappings import load_mappings
+
+    return {"dynamic": load_configs(configs) if configs else ()} | ({"mappings": load_mappings(mappings)} if mappings else {})
+
+
 def main(argv: list[str] | None = None) -> None:
     """`run SOURCE TARGET`, or `verify TARGET` with exit code 1 on a mismatch."""
     p = argparse.ArgumentParser()
@@ -53,13 +69,13 @@ def main(argv: list[str] | None = None) -> None:
     r.add_argument("source")
     r.add_argument("target")
     r.add_argument("--configs", help="folder of config-driven parsers")
+    r.add_argument("--mappings", help="folder of mappings that replace the built-in ones")
+    r.add_argument("--ordered", action="store_true", help="records by file and number, line-aligned over the outputs")
     sub.add_parser("verify").add_argument("target")
     a = p.parse_args(argv)
     spark = SparkSession.builder.getOrCreate()
     if a.command == "run":
-        from weir.operators.dynamic import load_configs
-
-        run(spark, a.source, a.target, dynamic=load_configs(a.configs) if a.configs else ())
+        run(spark, a.source, a.target, ordered=a.ordered, **parser_options(a.configs, a.mappings))
     else:
         report = verify_output(spark, a.target)
         print(report_json(report))

@@ -53,7 +53,7 @@ def to_parquet(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def export(spark: SparkSession, kind: str, source: str, output: str, index: str = INDEX, hec_source: str = "weir", sourcetype: str = "weir:ocsf", events: bool = False) -> None:
-    df = read_events(spark, source) if events else read_ocsf(spark, source)
+    df = read_events(spark, source).drop("seq") if events else read_ocsf(spark, source)
     if kind == "parquet":
         return to_parquet(df, output)
     lines = bulk_lines(df, index) if kind == "bulk" else collector_lines(df, hec_source, sourcetype, index)

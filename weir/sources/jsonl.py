@@ -71,13 +71,21 @@ def write_lines(df: DataFrame, line: Column, path: str, mode: str = "overwrite")
 
 
 def _read(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The rows and, as `seq`, their places: file, split, order within it. Files are ordered
+    by path, whatever order Spark reads them in."""
     configure(spark)
     if not exists(spark, path):
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).option("lineSep", "\n").option("recursiveFileLookup", "true").json(path)
+        return spark.createDataFrame([], schema).withColumn("seq", F.lit(None).cast(PLACE))
+    df = spark.read.schema(schema).option("lineSep", "\n").option("recursiveFileLookup", "true").json(path)
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"))
+    return df.withColumn("seq", place)
+
+
+PLACE = "struct<file:string,split:bigint,at:bigint>"
 
 
 def read_raw(spark: SparkSession, path: str) -> DataFrame:
+    """Raw rows and their places; where an id occurs twice, the later place counts."""
     return _read(spark, path, StructType([StructField(k, BooleanType() if k == "raw_text_lossy" else StringType()) for k in RAW_KEYS]))
 
 
@@ -85,8 +93,9 @@ def _json_map(c: Column) -> Column:
     return F.transform_values(F.from_json(c, "map<string,variant>"), lambda _, v: F.to_json(v))
 
 
-def read_events(spark: SparkSession, path: str) -> DataFrame:
-    """Events as the engine holds them; numbers read back from mixed values."""
+def read_events(spark: SparkSession, path: str, raw: str | None = None) -> DataFrame:
+    """Events as the engine holds them; numbers read back from mixed values. Their file's
+    name is in the raw rows alone: given those, it is joined by id, else it is NULL."""
     df = _read(spark, path, StructType([StructField(k, StringType()) for k in EVENT_KEYS]))
     cols = []
     for k in EVENT_KEYS:
@@ -95,13 +104,17 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
             cols.append(_json_map(c).alias(name))
         else:
             cols.append((c.try_cast("int") if k.endswith("_port") else c.try_cast("double") if k == "parse.confidence" else empty_to_null(c)).alias(name))
-    source = df.select(*cols, F.monotonically_increasing_id().alias("seq"))
-    return source.withColumns({"severity_is_int": F.col("event_severity").rlike(r"\A-?\d+\z") & (F.col("parse_parser") != "cisco_asa"), "source_file": F.lit(None).cast("string")})
+    whole = F.col("event_severity").rlike(r"\A-?\d+\z") & (F.col("parse_parser") != "cisco_asa")
+    events = df.select(*cols, "seq").withColumn("severity_is_int", whole)
+    if raw is None:
+        return events.withColumn("source_file", F.lit(None).cast("string"))
+    names = read_raw(spark, raw).groupBy(F.col("raw_event_id").alias("provenance_raw_event_id")).agg(empty_to_null(F.max_by("source_file", "seq")).alias("source_file"))
+    return events.join(names, "provenance_raw_event_id", "left").select(*events.columns, "source_file")
 
 
 def read_ocsf(spark: SparkSession, path: str) -> DataFrame:
     end = "struct<ip:string,port:string>"
     ddl = f"class_uid int, class_name string, category_uid int, category_name string, activity_id int, activity_name string, severity_id int, severity string, time bigint, action string, disposition_id int, disposition string, src_endpoint {end}, dst_endpoint {end}, connection_info struct<protocol_name:string>, metadata struct<product:string,vendor_name:string,version:string,raw_data_hash:string,raw_event_id:string>, unmapped string"
-    df = _read(spark, path, StructType.fromDDL(ddl))
+    df = _read(spark, path, StructType.fromDDL(ddl)).drop("seq")
     point = lambda n: F.struct(empty_to_null(F.col(f"{n}.ip")).alias("ip"), F.col(f"{n}.port").try_cast("int").alias("port")).alias(n)
     return df.withColumns({n: point(n) for n in ("src_endpoint", "dst_endpoint")} | {"unmapped": _json_map(F.col("unmapped")), "connection_info": F.struct(empty_to_null(F.col("connection_info.protocol_name")).alias("protocol_name")), "action": empty_to_null(F.col("action"))})

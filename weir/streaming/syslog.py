@@ -1,9 +1,11 @@
 """Streaming source of syslog messages over UDP and TCP (S12, S13, R1, R2).
 
 One receiver listens on both protocols of one port: a datagram is a message, and so is
-each line of a TCP connection. Messages are appended to a spool file before they count,
-an offset is a position in that file, and a restarted query reads on from its
-checkpoint. The spool must be in a folder that driver and executors share. UDP itself may lose datagrams before they arrive.
+each line of a TCP connection. Messages are appended to a spool of segment files before
+they count. An offset names a segment, a byte in it and the position of the message, so a
+batch reads only its own bytes, and a restarted query reads on from its checkpoint. A
+segment is deleted once every message in it is committed. The spool must be in a folder
+that driver and executors share. UDP itself may lose datagrams before they arrive.
 """
 
 from __future__ import annotations
@@ -21,15 +23,34 @@ SCHEMA = "source_file string, seq bigint, raw_bytes binary"
 FORMAT = "weir_syslog"
 
 
+SEGMENT_BYTES = 64 << 20
+
+
+def segments(spool: str) -> list[int]:
+    """Positions of the first messages of the segments, in order."""
+    return sorted(int(n.split(".")[0]) for n in os.listdir(spool) if n.endswith(".jsonl"))
+
+
+def segment_path(spool: str, first: int) -> str:
+    return os.path.join(spool, f"{first:020d}.jsonl")
+
+
 class Receiver:
-    """Sockets, their threads, and the spool they write."""
+    """Sockets, their threads, and the spool they write. A line that a crash left unfinished
+    at the end of the spool is cut off: it never counted."""
 
-    def __init__(self, host: str, port: int, spool: str):
+    def __init__(self, host: str, port: int, spool: str, segment_bytes: int = SEGMENT_BYTES):
         os.makedirs(spool, exist_ok=True)
-        self.path, self.lock, self.servers = os.path.join(spool, "messages.jsonl"), threading.Lock(), []
-        with open(self.path, "a+b") as f:
+        self.spool, self.segment_bytes, self.lock, self.servers = spool, segment_bytes, threading.Lock(), []
+        self.first = (segments(spool) or [0])[-1]
+        self.count, self.bytes = self.first, 0
+        with open(segment_path(spool, self.first), "a+b") as f:
             f.seek(0)
-            self.count = sum(1 for _ in f)
+            for line in f:
+                if not line.endswith(b"\n"):
+                    break
+                self.count, self.bytes = self.count + 1, self.bytes + len(line)
+            f.truncate(self.bytes)
         receiver = self
 
         class Datagram(socketserver.BaseRequestHandler):
@@ -61,9 +82,18 @@ class Receiver:
         if not data.strip():
             return
         line = json.dumps([f"{sender[0]}:{sender[1]}", base64.b64encode(data).decode()]) + "\n"
-        with self.lock, open(self.path, "ab") as f:
-            f.write(line.encode())
-            self.count += 1
+        body = line.encode()
+        with self.lock:
+            if self.bytes >= self.segment_bytes:
+                self.first, self.bytes = self.count, 0
+            with open(segment_path(self.spool, self.first), "ab") as f:
+                f.write(body)
+            self.count, self.bytes = self.count + 1, self.bytes + len(body)
+
+    def offset(self) -> dict:
+        """Where the spool ends."""
+        with self.lock:
+            return {"at": self.count, "segment": self.first, "byte": self.bytes}
 
     def close(self) -> None:
         for s in self.servers:
@@ -71,16 +101,45 @@ class Receiver:
             s.server_close()
 
 
-def spooled(spool: str, start: int, end: int) -> Iterator[tuple[str, int, bytes]]:
-    """Messages by position. Reading needs no socket, so any process that sees the spool
-    can do it."""
-    with open(os.path.join(spool, "messages.jsonl"), "rb") as f:
-        for n, line in enumerate(f):
-            if n >= end:
-                break
-            if n >= start:
+def spooled(spool: str, start: dict, end: dict) -> Iterator[tuple[str, int, bytes]]:
+    """Messages between two offsets. Reading needs no socket, so any process that sees the
+    spool can do it."""
+    for first in segments(spool):
+        if not start["segment"] <= first <= end["segment"]:
+            continue
+        with open(segment_path(spool, first), "rb") as f:
+            at, place = (start["at"], start["byte"]) if first == start["segment"] else (first, 0)
+            f.seek(place)
+            for line in f:
+                place += len(line)
+                if first == end["segment"] and place > end["byte"]:
+                    break
                 sender, data = json.loads(line)
-                yield sender, n, base64.b64decode(data)
+                yield sender, at, base64.b64decode(data)
+                at += 1
+
+
+class Messages(Iterator):
+    """Messages between two offsets, read when they are asked for. A copy made before that
+    reads them again, which is how Spark serves a batch more than once."""
+
+    def __init__(self, spool: str, start: dict, end: dict):
+        self.span, self.reading = (spool, start, end), None
+
+    def __copy__(self) -> Messages:
+        return Messages(*self.span)
+
+    def __next__(self) -> tuple[str, int, bytes]:
+        if self.reading is None:
+            self.reading = spooled(*self.span)
+        return next(self.reading)
+
+
+def trim(spool: str, end: dict) -> None:
+    """Delete the segments that end before an offset."""
+    for first in segments(spool):
+        if first < end["segment"]:
+            os.remove(segment_path(spool, first))
 
 
 _RECEIVERS: dict[tuple, Receiver] = {}
@@ -97,18 +156,17 @@ class SyslogReader(SimpleDataSourceStreamReader):
         return _RECEIVERS[self.key]
 
     def initialOffset(self) -> dict:
-        return {"at": 0}
+        return {"at": 0, "segment": 0, "byte": 0}
 
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        r = self.receiver()
-        end = r.count
-        return iter(list(spooled(self.key[2], start["at"], end))), {"at": end}
+        end = self.receiver().offset()
+        return Messages(self.key[2], start, end), end
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        return iter(list(spooled(self.key[2], start["at"], end["at"])))
+        return Messages(self.key[2], start, end)
 
     def commit(self, end: dict) -> None:
-        """The spool is kept; it is the log of what was received."""
+        trim(self.key[2], end)
 
 
 class SyslogSource(DataSource):
