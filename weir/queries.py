@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weir.functions.time import epoch_ms
 from weir.functions.text import fenced, get, pairs, strict_object
 from weir.functions.tokenize import flatten_object, quoted_pairs, split_header, strip, tokenize
 from weir.operators import explore, integrity, ocsf, quality
@@ -20,8 +21,8 @@ from weir.plans.normalize import normalize, with_identity
 from weir.plans import rendered
 from weir.plans.rendered import dealt, lines
 from weir.session import configure
-from weir.sources.export import collector_time, doc_id
-from weir.sources.records import frame_lines
+from weir.sources.export import bulk_lines, collector_lines, collector_time, doc_id
+from weir.sources.records import finish, frame_lines, records_of
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -191,19 +192,17 @@ def quality_overall(spark, sf_dir):
 
 
 @query(f"""{O.EVENTS}, u AS (SELECT grp, source_file, event_id, unnest(list_distinct(unmapped_keys)) AS key FROM e),
-  n AS (SELECT grp, key, count(*) AS c FROM u GROUP BY ALL)
-  SELECT grp, count(*) AS n_keys, CAST(sum(c) AS BIGINT) AS total, max(c) AS top_count FROM n GROUP BY grp""")
+  n AS (SELECT grp, key, count(*) AS count FROM u GROUP BY ALL) SELECT * FROM n""")
 def unmapped_keys(spark, sf_dir):
-    """Counts behind the top keys; the order of ties is tested apart."""
-    keys = quality.partials(graded(spark, sf_dir))[1]
-    return keys.groupBy("grp").agg(F.count(F.lit(1)).alias("n_keys"), F.sum("count").alias("total"), F.max("count").alias("top_count"))
+    """How often each group leaves each key unmapped; the order of ties is tested apart."""
+    return quality.partials(graded(spark, sf_dir))[1].select("grp", "key", "count")
 
 
-@query(f"""{O.EVENTS}, u AS (SELECT source_file, event_id, unnest(list_distinct(unmapped_keys)) AS key FROM e), n AS (SELECT key, count(*) AS count FROM u GROUP BY key)
-  SELECT CAST(row_number() OVER (ORDER BY count DESC) AS INTEGER) AS rank, count FROM n QUALIFY rank <= 5""")
+@query(f"""{O.EVENTS}, u AS (SELECT source_file, event_id, unmapped_keys, unnest(list_distinct(unmapped_keys)) AS key FROM e), n AS (SELECT key, count(*) AS count, min({{'f': source_file, 's': event_id, 'p': list_position(unmapped_keys, key)}}) AS seen FROM u GROUP BY key)
+  SELECT CAST(row_number() OVER (ORDER BY count DESC, seen) AS INTEGER) AS rank, key, count FROM n QUALIFY rank <= 5""")
 def top_unmapped_keys(spark, sf_dir):
-    """The report's five most frequent unmapped keys of all events, by count."""
-    return quality.top_unmapped(graded(spark, sf_dir), 5).where("overall = 1").select("rank", "count")
+    """The report's five most frequent unmapped keys of all events."""
+    return quality.top_unmapped(graded(spark, sf_dir), 5).where("overall = 1").select("rank", "key", "count")
 
 
 @query(f"{O.EVENTS} SELECT count(*) AS event_count, count(*) FILTER (status = 'failed') AS failed_parses, count(DISTINCT vendor) AS distinct_vendors, count(*) FILTER (category = 'authentication' AND outcome = 'failure') AS authentication_failures FROM e")
@@ -269,11 +268,31 @@ def splunk_time(spark, sf_dir):
     return ocsf_rows(spark, sf_dir).select("event_id", collector_time(F.col("time_ms")).alias("time_s"))
 
 
-@query("SELECT count(*) AS n, count(DISTINCT event_id) AS ids FROM events")
+_ID = r"sha256(encode(source_file) || '\x00'::BLOB || encode(event_id::VARCHAR) || '\x00'::BLOB || encode(sha256(line)))"
+_UUID = f"{O.LINES}, h AS (SELECT *, {_ID} AS h FROM lines), d AS (SELECT *, concat_ws('-', h[1:8], h[9:12], h[13:16], h[17:20], h[21:32]) AS id FROM h)"
+
+
+@query(f"{_UUID} SELECT id AS doc_id, sha256(line) AS raw_hash FROM d")
 def bulk_doc_id(spark, sf_dir):
-    """Each record has a document id of its own."""
+    """The document id of each record, made of its file, number and bytes."""
     o = ocsf.to_ocsf(normalize(records(spark, sf_dir), O.INGEST), O.YEAR)
-    return o.agg(F.count(doc_id(o)).alias("n"), F.count_distinct(doc_id(o)).alias("ids"))
+    return o.select(doc_id(o).alias("doc_id"), F.col("metadata.raw_data_hash").alias("raw_hash"))
+
+
+@query(f"""{_UUID} SELECT '{{"index":{{"_index":"log-events","_id":"' || id || '"}}}}' AS action, id AS event_id, sha256(line) AS raw_hash FROM d""")
+def bulk_actions(spark, sf_dir):
+    """The two lines of each record's bulk entry."""
+    e = bulk_lines(normalize(records(spark, sf_dir), O.INGEST))
+    both = F.split("value", "\n", 2)
+    return e.select(both[0].alias("action"), *[F.get_json_object(both[1], f"$['{k}']").alias(n) for k, n in (("event_id", "event_id"), ("provenance.raw_hash", "raw_hash"))])
+
+
+@query(f"{O.OCSF} SELECT sha256(line) AS raw_hash, 'weir' AS source, 'weir:ocsf' AS sourcetype, 'idx' AS index_name, time_ms / 1000 AS time_s, class_uid FROM o")
+def collector_wrappers(spark, sf_dir):
+    """The event-collector wrapper of each record, read back."""
+    o = collector_lines(ocsf.to_ocsf(normalize(records(spark, sf_dir), O.INGEST), O.YEAR), index="idx")
+    at = lambda k: F.get_json_object("value", f"$.{k}")
+    return o.select(at("event.metadata.raw_data_hash").alias("raw_hash"), at("source").alias("source"), at("sourcetype").alias("sourcetype"), at("index").alias("index_name"), at("time").cast("double").alias("time_s"), at("event.class_uid").cast("int").alias("class_uid"))
 
 
 @query(f"{O.EVENTS} SELECT event_id, src_ip, dst_ip, src_port FROM e")
@@ -388,6 +407,111 @@ def dynamic_kv(spark, sf_dir):
     return e.where("parse_parser = 'llm:Acme' and user_name is not null").select(F.col("seq").alias("event_id"), F.col("network_src_ip").alias("src_ip"), F.col("event_action").alias("action"))
 
 
+@query(r"""WITH b AS (SELECT event_id, event_id % 3 = 0 AS lossy, encode('v ' || event_id) || CASE WHEN event_id % 3 = 0 THEN '\xFF'::BLOB || encode('é') ELSE ''::BLOB END AS raw FROM events)
+  SELECT event_id, lossy, 'v ' || event_id || CASE WHEN lossy THEN chr(65533) || 'é' ELSE '' END AS raw_text, CASE WHEN lossy THEN base64(raw) ELSE '' END AS bytes, sha256(raw) AS raw_hash FROM b""")
+def lossy_bytes(spark, sf_dir):
+    """Text, kept bytes and hash of lines that are no valid UTF-8."""
+    raw = F.concat(F.encode(F.concat(F.lit("v "), F.col("event_id").cast("string")), "UTF-8"), F.when(F.col("event_id") % 3 == 0, F.lit(b"\xff\xc3\xa9")).otherwise(F.lit(b"")))
+    df = finish(spark.read.parquet(f"{sf_dir}/events.parquet").select(F.lit("f").alias("source_file"), F.col("event_id").alias("seq"), raw.alias("raw_bytes")))
+    return with_identity(df, O.INGEST).select(F.col("seq").alias("event_id"), F.col("raw_text_lossy").alias("lossy"), "raw_text", F.col("raw_bytes_b64").alias("bytes"), "raw_hash")
+
+
+@query("SELECT event_id, CAST(epoch_ms(date_trunc('second', ts)) - CASE event_id % 4 WHEN 0 THEN 19800000 WHEN 1 THEN -25200000 ELSE 0 END AS BIGINT) AS time_ms FROM events")
+def offset_times(spark, sf_dir):
+    """Times with offsets, with and without a colon."""
+    text = "date_format(ts, 'yyyy-MM-dd') || 'T' || date_format(ts, 'HH:mm:ss') || CASE event_id % 4 WHEN 0 THEN '+05:30' WHEN 1 THEN '-0700' WHEN 2 THEN 'Z' ELSE '' END"
+    return of_events(spark, sf_dir, text).select("event_id", epoch_ms(F.col("line"), F.lit(O.YEAR)).alias("time_ms"))
+
+
+_RFC = "'<' || (event_id % 192) || '>1 2024-02-03T04:05:06' || CASE event_id % 2 WHEN 0 THEN 'Z' ELSE '+02:00' END || ' host' || (user_id % 9) || ' app ' || CASE event_id % 3 WHEN 0 THEN '-' ELSE event_id::STRING END || ' ID' || (event_id % 7) || ' - said ' || event_type"
+
+
+@query("SELECT event_id, (event_id % 192)::VARCHAR AS pri, '1' AS version, '2024-02-03T04:05:06' || CASE event_id % 2 WHEN 0 THEN 'Z' ELSE '+02:00' END AS ts, 'host' || (user_id % 9) AS host, 'app' AS app, CASE WHEN event_id % 3 <> 0 THEN event_id::VARCHAR END AS procid, 'ID' || (event_id % 7) AS msgid, '- said ' || event_type AS body FROM events")
+def syslog_header_5424(spark, sf_dir):
+    head, body = split_header(strip(F.col("line")))
+    df = fenced(of_events(spark, sf_dir, _RFC), "h", F.struct(head.alias("head"), body.alias("body")))
+    return df.select("event_id", *[get(F.col("h.head"), f"syslog_{k}").alias(n) for k, n in (("pri", "pri"), ("version", "version"), ("timestamp", "ts"), ("host", "host"), ("app", "app"), ("procid", "procid"), ("msgid", "msgid"))], F.col("h.body").alias("body"))
+
+
+_PREFIXED = """CASE event_id % 2 WHEN 0 THEN 'CEF:0|Ven ' || (user_id % 9) || '|Prod|1.' || (event_id % 5) || '|' || event_id || '|' || event_type || '|' || (event_id % 11) ELSE 'LEEF:1.0|Ven ' || (user_id % 9) || '|Prod|1.' || (event_id % 5) || '|' || event_id END || '|src=10.0.0.' || (event_id % 250) || ' msg="two words" n=' || user_id"""
+
+
+@query("""SELECT event_id, 'cef' AS mode, CASE WHEN event_id % 2 = 0 THEN 'Ven ' || (user_id % 9) END AS cef_vendor, CASE WHEN event_id % 2 = 0 THEN event_id::VARCHAR END AS cef_signature_id, CASE WHEN event_id % 2 = 0 THEN (event_id % 11)::VARCHAR END AS cef_severity,
+  CASE WHEN event_id % 2 = 1 THEN 'Ven ' || (user_id % 9) END AS leef_vendor, CASE WHEN event_id % 2 = 1 THEN event_id::VARCHAR END AS leef_event_id, '10.0.0.' || (event_id % 250) AS src, 'two words' AS msg, user_id::VARCHAR AS n FROM events""")
+def prefixed_tokens(spark, sf_dir):
+    """CEF and LEEF headers and their pairs as the tokenizer reads them."""
+    t = tokenize(of_events(spark, sf_dir, _PREFIXED), "line", "tokens")
+    return t.select("event_id", "tokens.mode", *[get(F.col("tokens.fields"), k).alias(k) for k in ("cef_vendor", "cef_signature_id", "cef_severity", "leef_vendor", "leef_event_id", "src", "msg", "n")])
+
+
+_TWIN = """'<14>1 2024-02-03T04:05:06Z edge' || (user_id % 4) || ' RT_FLOW - RT_FLOW_SESSION_' || CASE event_id % 3 WHEN 0 THEN 'CREATE' WHEN 1 THEN 'DENY' ELSE 'CLOSE' END || ' [x@1 source-address="10.0.0.' || (event_id % 250) || '" source-port="' || (1024 + event_id % 999) || '" destination-address="10.1.1.1" destination-port="443" protocol-id="' || CASE event_id % 4 WHEN 0 THEN '6' WHEN 1 THEN '17' WHEN 2 THEN '1' ELSE '47' END || '" z="q"]'"""
+_FLOW_RULES = {"vendor": "Edge", "product": "Flow", "mode": "rt_flow", "field_map": {"network.src_ip": "src_ip", "network.dst_ip": "dst_ip", "network.src_port": "src_port", "network.transport": "protocol", "event.action": "event", "observer.name": "host"}, "action_rules": [], "timestamp": {"keys": [], "format": ""}, "category": "network", "format_hint": "syslog"}
+
+
+@query("""SELECT event_id, '10.0.0.' || (event_id % 250) AS src_ip, CAST(1024 + event_id % 999 AS INTEGER) AS src_port, 'edge' || (user_id % 4) AS host, CASE event_id % 4 WHEN 0 THEN 'tcp' WHEN 1 THEN 'udp' WHEN 2 THEN 'icmp' ELSE '47' END AS transport,
+  CASE event_id % 3 WHEN 0 THEN 'allow' WHEN 1 THEN 'deny' ELSE 'RT_FLOW_SESSION_CLOSE' END AS action, CASE event_id % 3 WHEN 0 THEN 'success' WHEN 1 THEN 'failure' ELSE 'unknown' END AS outcome, 'llm:Edge' AS parser FROM events""")
+def dynamic_flow_twin(spark, sf_dir):
+    """Structured-data flow lines through a config: projection, verbs and protocols."""
+    return by_config(spark, sf_dir, _TWIN, _FLOW_RULES).select(F.col("seq").alias("event_id"), F.col("network_src_ip").alias("src_ip"), F.col("network_src_port").alias("src_port"), F.col("observer_name").alias("host"), F.col("network_transport").alias("transport"), F.col("event_action").alias("action"), F.col("event_outcome").alias("outcome"), F.col("parse_parser").alias("parser"))
+
+
+def by_config(spark: SparkSession, sf_dir: str, line: str, config: dict) -> DataFrame:
+    """Events of rendered lines that a config alone may claim."""
+    df = of_events(spark, sf_dir, line).withColumns({"source_file": F.lit("f"), "seq": F.col("event_id")})
+    return normalize(records_of(df), O.INGEST, parsers=(), dynamic=(compile_config(config),))
+
+
+_ROUTER_RULES = {"vendor": "Hop", "product": "Box", "mode": "mikrotik", "field_map": {"network.src_ip": "src_ip", "network.transport": "protocol", "event.action": "chain"}, "action_rules": [], "timestamp": {"keys": [], "format": ""}, "category": "network"}
+
+
+@query("SELECT event_id, '10.7.7.' || (event_id % 250) AS src_ip, 'TCP' AS transport, CASE event_id % 3 WHEN 0 THEN 'deny' WHEN 1 THEN 'allow' END AS action, CASE event_id % 3 WHEN 0 THEN 'failure' WHEN 1 THEN 'success' ELSE 'unknown' END AS outcome, CASE event_id % 3 WHEN 1 THEN 'input' ELSE 'forward' END AS chain FROM events")
+def dynamic_router(spark, sf_dir):
+    """Router sentences through a config: a chain is no action, drop and accept are."""
+    e = by_config(spark, sf_dir, _ROUTER, _ROUTER_RULES)
+    return e.select(F.col("seq").alias("event_id"), F.col("network_src_ip").alias("src_ip"), F.col("network_transport").alias("transport"), F.col("event_action").alias("action"), F.col("event_outcome").alias("outcome"), F.get_json_object(F.to_json("unmapped"), "$.chain").alias("chain_json")).withColumn("chain", F.regexp_replace("chain_json", '"', "")).drop("chain_json")
+
+
+_SENTENCE = "'unit ' || user_id || ' did ' || CASE event_id % 3 WHEN 0 THEN 'drop' WHEN 1 THEN 'pass' ELSE 'note' END || ' from 10.9.8.' || (event_id % 250) || CASE event_id % 5 WHEN 0 THEN '' ELSE ' port ' || (event_id % 999) END"
+_SENTENCE_RULES = {"vendor": "Said", "product": "", "mode": "regex", "line_regex": r"unit (?P<who>\d+) did (?P<verb>\w+) from (?P<ip>[\d.]+)(?: port (?P<port>\d+))?", "field_map": {"user.name": "who", "event.action": "verb", "network.src_ip": "ip", "network.src_port": "port"}, "action_rules": [{"match_value": "drop", "action": "denied"}, {"match_value": "pass", "action": "allowed"}], "category": "network"}
+
+
+@query("SELECT event_id, user_id::VARCHAR AS user_name, CASE event_id % 3 WHEN 0 THEN 'denied' WHEN 1 THEN 'allowed' ELSE 'note' END AS action, CASE event_id % 3 WHEN 0 THEN 'failure' WHEN 1 THEN 'success' ELSE 'unknown' END AS outcome, '10.9.8.' || (event_id % 250) AS src_ip, CASE WHEN event_id % 5 <> 0 THEN CAST(event_id % 999 AS INTEGER) END AS src_port, 'ok' AS status FROM events")
+def dynamic_sentence(spark, sf_dir):
+    """Lines of a pattern with named groups, and action rules."""
+    e = by_config(spark, sf_dir, _SENTENCE, _SENTENCE_RULES)
+    return e.select(F.col("seq").alias("event_id"), "user_name", F.col("event_action").alias("action"), F.col("event_outcome").alias("outcome"), F.col("network_src_ip").alias("src_ip"), F.col("network_src_port").alias("src_port"), F.col("parse_status").alias("status"))
+
+
+@query("SELECT CAST(event_id AS VARCHAR) AS raw_event_id, CASE WHEN event_id % 5 = 0 THEN 'event_hash_mismatch' END AS kind FROM events WHERE event_id % 5 = 0")
+def verify_duplicates(spark, sf_dir):
+    """Raw ids that occur twice: the later row is the one that counts."""
+    r = with_identity(records(spark, sf_dir), O.INGEST).withColumn("id", F.col("seq").cast("string"))
+    twice = r.withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1))))
+    changed = ((F.col("copy") == 1) & (F.col("seq") % 5 == 0)) | ((F.col("copy") == 0) & (F.col("seq") % 3 == 0))
+    raw = twice.select(F.col("id").alias("raw_event_id"), F.when(changed, "other").otherwise(F.col("raw_hash")).alias("raw_hash"), (F.col("seq") * 2 + F.col("copy")).alias("seq"))
+    e = r.select(F.col("id").alias("provenance_raw_event_id"), F.col("raw_hash").alias("provenance_raw_hash"))
+    return integrity.event_mismatches(e, raw).select("raw_event_id", "kind")
+
+
+@query(rf"""{O.LINES}, v AS (SELECT {_MODE} AS mode, count(*) AS votes, min(event_id) AS first FROM lines GROUP BY 1)
+  SELECT mode, votes FROM v ORDER BY votes DESC, mode = 'regex', first LIMIT 1""")
+def mode_winner(spark, sf_dir):
+    """The mode most lines are in; structured ones before `regex`, then the first seen."""
+    from weir.onboard.samples import mode_votes
+
+    return mode_votes(tokens(spark, sf_dir).withColumnRenamed("event_id", "seq")).limit(1)
+
+
+@query(rf"""{O.LINES}, x AS (SELECT event_id, regexp_extract(line, 'devname=(\S+)', 1) AS value FROM lines WHERE ({_MODE}) = 'kv' AND contains(line, 'devname=')),
+  d AS (SELECT value, min(event_id) AS first FROM x GROUP BY value) SELECT 'devname' AS key, string_agg(value, ',' ORDER BY first) AS examples FROM (SELECT * FROM d ORDER BY first LIMIT 2)""")
+def token_examples(spark, sf_dir):
+    """The first two values of a key, in order of appearance."""
+    from weir.onboard.samples import example_values
+
+    got = example_values(tokens(spark, sf_dir).withColumnRenamed("event_id", "seq").where("tokens.fields['devname'] is not null"), "kv")
+    return spark.createDataFrame([("devname", ",".join(got["devname"]))], "key string, examples string")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The quality report by source over every rendered line."""
     return QUERIES["quality_by_source"](spark, sf_dir)
