@@ -9,7 +9,7 @@ from weir.llm.quality import op3_quality
 from weir.llm.secrets import op2_secrets
 from weir.llm.sharding import op5_sharding
 from weir.llm.simhash import op8_simhash
-from weir.llm.substring_dedup import op4_substring_dedup
+from weir.llm.substring_dedup import OP4_SQL, op4_substring_dedup
 from weir.llm.topk_search import OP6_SQL, op6_topk_search
 from weir.llm.url_filters import OP7_SQL, op7_url_filters
 
@@ -26,4 +26,4 @@ QUERIES = {
     "op10_decontamination": op10_decontamination,
 }
 
-ORACLES = {"op6_topk_search": OP6_SQL, "op7_url_filters": OP7_SQL}
+ORACLES = {"op4_substring_dedup": OP4_SQL, "op6_topk_search": OP6_SQL, "op7_url_filters": OP7_SQL}

@@ -191,3 +191,18 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR, with_
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(read_table(spark, sf_dir, "documents"))
+
+
+#: The contract in SQL for DuckDB: every window of every document by its own hash.
+OP4_SQL = r"""
+WITH d AS MATERIALIZED (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+x AS MATERIALIZED (SELECT r, doc_id, i, md5_number(array_to_string(w[i:i + 49], ' ')) AS h FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)),
+f AS (SELECT h, min(doc_id) AS first FROM x GROUP BY h HAVING min(doc_id) < max(doc_id)),
+m AS (SELECT r, list(i) AS starts FROM x JOIN f USING (h) WHERE x.doc_id > f.first GROUP BY r),
+g AS (SELECT r, list_distinct(flatten(list_transform(starts, lambda s: range(s, s + 50)))) AS gone FROM m),
+c AS (SELECT r, unnest(gone) AS i FROM g),
+p AS (SELECT r, w[i] AS word, i FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM d WHERE r IN (SELECT r FROM m))),
+k AS (SELECT r, string_agg(word, ' ' ORDER BY i) AS kept FROM p ANTI JOIN c USING (r, i) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed, sha256(CASE WHEN gone IS NULL THEN array_to_string(w, ' ') ELSE coalesce(kept, '') END) AS kept_sha256
+FROM d LEFT JOIN g USING (r) LEFT JOIN k USING (r)
+"""
