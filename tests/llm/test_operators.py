@@ -800,7 +800,7 @@ def test_empty_tables(spark):
 
 def test_oracles_run_on_duckdb(spark, sf_dir):
     db = duckdb.connect()
-    for t in ("embeddings", "pages"):
+    for t in ("documents", "embeddings", "pages"):
         db.sql(f"create view {t} as select * from '{sf_dir}/{t}.parquet'")
     for name, sql in ORACLES.items():
         df = QUERIES[name](spark, sf_dir)
