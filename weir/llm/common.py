@@ -46,18 +46,16 @@ def shared_path(spark: SparkSession, tag: str) -> str:
     return f"{own_folder(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
-#: While a table is written here, Spark sends Python no more than this at once.
-STORE_BATCH = {"spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES), "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
-
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
+def materialize(df: DataFrame, tag: str, batch_rows: int = 1000) -> DataFrame:
     """Write df as a table in the shared folder and read it back: lineage ends there,
-    and a lost executor costs nothing but the tasks that it was running."""
+    and a lost executor costs nothing but the tasks that it was running. Meanwhile Spark
+    sends Python at most BATCH_BYTES and batch_rows at once."""
     spark = df.sparkSession
     path = shared_path(spark, tag)
-    before = {k: spark.conf.get(k, None) for k in STORE_BATCH}
+    batch = {"spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES), "spark.sql.execution.arrow.maxRecordsPerBatch": str(batch_rows)}
+    before = {k: spark.conf.get(k, None) for k in batch}
     try:
-        for k, v in STORE_BATCH.items():
+        for k, v in batch.items():
             spark.conf.set(k, v)
         df.write.parquet(path)
     finally:

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import os
 import re
+import string
 import zlib
 from array import array
 from bisect import bisect_left, insort
@@ -34,9 +35,11 @@ CAPACITY = 4096
 END_ID = 1
 SALTS = 32
 MEMO = 300_000
-#: Letters that no normalization changes but for case, and ASCII punctuation without the
+BATCH_ROWS = 4000
+#: Lower-case letters that no normalization changes, and ASCII punctuation without the
 #: apostrophe: the pre-tokenizer cuts between the two.
-PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-&(-/:-@\[-`{-~]*)")
+LETTERS = re.compile(r"[a-zß-öø-ÿ]+")
+MARKS = "".join(c for c in string.punctuation if c != "'")
 
 
 def public_tokenizer() -> str:
@@ -56,10 +59,11 @@ class Encoder:
     """Token ids of many texts at once.
 
     The pre-tokenizer of the vocabulary never joins characters across ASCII white space,
-    so texts are split there, and each distinct run of other characters is encoded once a
-    batch and remembered in two generations of at most `memo` entries. A run of plain
-    letters with plain punctuation behind it needs no normalization but for case, and its
-    halves go to the tokenizer's model at once; any other run goes through all of it.
+    so texts are split there, and each distinct run of other characters is looked up once
+    a batch. A run of plain letters with plain punctuation behind it needs no normalization
+    but for case: its halves go to the tokenizer's model at once and are remembered, in two
+    generations of at most `memo` entries, so "Word", "word" and "word," are one entry. Any
+    other run goes through all of the tokenizer and is remembered by itself.
     """
 
     def __init__(self, path: str, memo: int = MEMO):
@@ -70,32 +74,41 @@ class Encoder:
         self.model, self.letters = self.tokenizer.model, byte_letters()
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.other: dict[str, bytes] = {}
 
-    def _one(self, run: str) -> bytes:
-        m = PLAIN.fullmatch(run)
-        if m is None:
-            ids = self.tokenizer.encode(run, add_special_tokens=False).ids
-        else:
-            ids = []
-            for half in m.groups():
-                if half:
-                    half = half.lower()
-                    if not half.isascii():
-                        half = half.encode().decode("latin-1").translate(self.letters)
-                    ids += [t.id for t in self.model.tokenize(half)]
-        return array("I", ids).tobytes()
+    def _half(self, half: str) -> bytes | None:
+        """Ids of lower-case plain letters or of plain punctuation, None for anything else."""
+        found = self.young.get(half)
+        if found is None:
+            found = self.old.get(half)
+            if found is None:
+                if half[-1] not in MARKS and LETTERS.fullmatch(half) is None:
+                    return None
+                seen = half if half.isascii() else half.encode().decode("latin-1").translate(self.letters)
+                found = array("I", [t.id for t in self.model.tokenize(seen)]).tobytes()
+            self.young[half] = found
+        return found
+
+    def _run(self, run: str) -> bytes:
+        letters = run.rstrip(MARKS)
+        found = self._half(letters.lower()) if letters else b""
+        if found is None:
+            found = self.other.get(run)
+            if found is None:
+                self.other[run] = found = array("I", self.tokenizer.encode(run, add_special_tokens=False).ids).tobytes()
+            return found
+        return found + self._half(run[len(letters) :]) if len(letters) < len(run) else found
 
     def words(self, vocabulary: list[str]) -> list[bytes]:
         """Ids of each run of characters."""
         if len(self.young) > self.memo:
             self.young, self.old = {}, self.young
-        young, old, one, out = self.young, self.old, self._one, []
+        if len(self.other) > self.memo:
+            self.other = {}
+        young, run, out = self.young, self._run, []
         for w in vocabulary:
             found = young.get(w)
-            if found is None:
-                found = old.get(w)
-                young[w] = found = one(w) if found is None else found
-            out.append(found)
+            out.append(run(w) if found is None else found)
         return out
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -140,7 +153,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
                     out[k].append(v)
         return out
 
-    return map_rows(rows, fn, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint" + (", ids binary" if with_ids else ""), batch_rows=4000)
+    return map_rows(rows, fn, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint" + (", ids binary" if with_ids else ""), batch_rows=BATCH_ROWS)
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int]]:
@@ -243,4 +256,4 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """Every document in sequences of at most `capacity` ids, the end id included."""
-    return pack(materialize(pieces(docs, tokenizer or public_tokenizer(), capacity), "pieces"), capacity)
+    return pack(materialize(pieces(docs, tokenizer or public_tokenizer(), capacity), "pieces", BATCH_ROWS), capacity)
