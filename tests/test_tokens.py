@@ -131,6 +131,29 @@ def test_exports(spark, tmp_path):
     assert spark.read.text(str(tmp_path / "bulk")).count() == 0
 
 
+def test_export_to_standard_output(spark, tmp_path, capsys):
+    import pytest
+
+    from weir.sources.export import main
+
+    spark.range(3).selectExpr("concat('{\"event_id\":\"e', id, '\"}') value").coalesce(1).write.text(str(tmp_path / "events.jsonl"))
+    main(["bulk", "--events", "--source-file", str(tmp_path / "events.jsonl")])
+    lines = capsys.readouterr().out.splitlines()
+    assert [json.loads(x)["index"]["_id"] for x in lines[::2]] == ["e0", "e1", "e2"] and [json.loads(x)["event_id"] for x in lines[1::2]] == ["e0", "e1", "e2"]
+    with pytest.raises(SystemExit):
+        main(["parquet", "--source-file", str(tmp_path / "events.jsonl")])
+
+
+def test_commands_load_approved_configs(tmp_path, monkeypatch):
+    from weir.plans.batch import CONFIGS, parser_options
+
+    monkeypatch.chdir(tmp_path)
+    assert parser_options(CONFIGS) == {"dynamic": ()}
+    (tmp_path / CONFIGS).mkdir()
+    (tmp_path / CONFIGS / "gate.yaml").write_text(json.dumps(GATE))
+    assert [c.vendor for c in parser_options(CONFIGS)["dynamic"]] == [GATE["vendor"]]
+
+
 GOOD = {k: v for k, v in GATE.items() if k not in ("generator", "format_hint")} | {"field_map": GATE["field_map"]}
 
 

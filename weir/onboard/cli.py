@@ -17,6 +17,7 @@ from weir.onboard import client as C
 from weir.onboard.generator import profile, propose, with_route
 from weir.onboard.samples import read_samples
 from weir.onboard.validator import Verdict, validate, validate_schema_only
+from weir.plans.batch import CONFIGS
 
 GENERATOR = "weir.onboard"
 
@@ -84,7 +85,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     p.add_argument("--port", type=int, default=C.PORT)
     p.add_argument("--base-url")
     p.add_argument("--out-dir", default="out")
-    p.add_argument("--configs", default="configs", help="folder that approved configs go to")
+    p.add_argument("--configs", default=CONFIGS, help="folder that approved configs go to")
     a = p.parse_args(argv)
     if not a.replay and not a.samples:
         p.error("--samples is required unless --replay is given")

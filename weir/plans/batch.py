@@ -53,8 +53,13 @@ def verify_output(spark: SparkSession, target: str) -> dict:
     return verify(read_raw(spark, f"{target}/raw.jsonl"), read_events(spark, f"{target}/events.jsonl"))
 
 
+#: Where onboarding puts approved configs, and where every command looks for them.
+CONFIGS = "configs"
+
+
 def parser_options(configs: str | None = None, mappings: str | None = None) -> dict:
-    """Options of `parse` from a folder of config-driven parsers and one of mappings."""
+    """Options of `parse` from a folder of config-driven parsers, none if it is
+    missing, and one of mappings."""
     from weir.operators.dynamic import load_configs
     from weir.plans.mappings import load_mappings
 
@@ -68,7 +73,7 @@ def main(argv: list[str] | None = None) -> None:
     r = sub.add_parser("run")
     r.add_argument("source")
     r.add_argument("target")
-    r.add_argument("--configs", help="folder of config-driven parsers")
+    r.add_argument("--configs", default=CONFIGS, help="folder of config-driven parsers")
     r.add_argument("--mappings", help="folder of mappings that replace the built-in ones")
     r.add_argument("--ordered", action="store_true", help="records by file and number, line-aligned over the outputs")
     sub.add_parser("verify").add_argument("target")

@@ -12,6 +12,7 @@ from weir.functions.text import quote
 from weir.sources.jsonl import event_json, object_, ocsf_json, read_events, read_ocsf, write_lines
 
 INDEX = "log-events"
+STDOUT = "-"
 
 
 def is_ocsf(df: DataFrame) -> bool:
@@ -57,6 +58,10 @@ def export(spark: SparkSession, kind: str, source: str, output: str, index: str
     if kind == "parquet":
         return to_parquet(df, output)
     lines = bulk_lines(df, index) if kind == "bulk" else collector_lines(df, hec_source, sourcetype, index)
+    if output == STDOUT:
+        for row in lines.toLocalIterator():  # one partition at a time
+            print(row.value)
+        return
     write_lines(lines, F.col("value"), output)
 
 
@@ -64,12 +69,14 @@ def main(argv: list[str] | None = None) -> None:
     p = argparse.ArgumentParser(description="Export stored records")
     p.add_argument("format", choices=["bulk", "opensearch", "hec", "splunk", "parquet"])
     p.add_argument("--source-file", required=True)
-    p.add_argument("--output", required=True)
+    p.add_argument("--output", default=STDOUT, help="folder to write; lines go to standard output without one")
     p.add_argument("--index", default=INDEX)
     p.add_argument("--splunk-source", default="weir")
     p.add_argument("--splunk-sourcetype", default="weir:ocsf")
     p.add_argument("--events", action="store_true", help="the source holds events, not OCSF records")
     a = p.parse_args(argv)
+    if a.format == "parquet" and a.output == STDOUT:
+        p.error("parquet needs --output")
     kind = {"opensearch": "bulk", "splunk": "hec"}.get(a.format, a.format)
     export(SparkSession.builder.getOrCreate(), kind, a.source_file, a.output, a.index, a.splunk_source, a.splunk_sourcetype, a.events)
 

@@ -49,7 +49,7 @@ def event_json() -> Column:
         if key == "event.severity":
             return F.when(F.col("severity_is_int") & c.isNotNull(), c).otherwise(string(c))
         if key == "parse.confidence":
-            return F.when(F.col("parse_status") == "failed", "0").otherwise(c.cast("string"))
+            return F.when(F.col("parse_status") == "failed", "0").otherwise(F.coalesce(c.cast("string"), F.lit("null")))
         return map_of_json(c) if key == "unmapped" else string(c)
 
     return object_([(k, value(k)) for k in EVENT_KEYS])

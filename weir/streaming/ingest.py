@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from weir.operators.ocsf import to_ocsf
 from weir.operators.quality import add_partials, grade, partials, report_json, report_of
-from weir.plans.batch import parser_options
+from weir.plans.batch import CONFIGS, parser_options
 from weir.plans.normalize import event_columns, parse, raw_rows, with_identity
 from weir.sources.files import delete, exists, names, write_text
 from weir.sources.jsonl import event_json, ocsf_json, raw_json, write_lines
@@ -86,7 +86,7 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("target")
     p.add_argument("--host", default="127.0.0.1")
     p.add_argument("--port", type=int, default=5514)
-    p.add_argument("--configs", help="folder of config-driven parsers")
+    p.add_argument("--configs", default=CONFIGS, help="folder of config-driven parsers")
     p.add_argument("--mappings", help="folder of mappings that replace the built-in ones")
     a = p.parse_args(argv)
     listen(SparkSession.builder.getOrCreate(), a.target, a.host, a.port, **parser_options(a.configs, a.mappings)).awaitTermination()

@@ -67,16 +67,16 @@ def server(spark: SparkSession, target: str, host: str = "127.0.0.1", port: int
 
 
 def main(argv: list[str] | None = None) -> None:
+    from weir.plans.batch import CONFIGS, parser_options, run
+
     p = argparse.ArgumentParser(description="View stored events")
     p.add_argument("target")
     p.add_argument("--rebuild", metavar="SOURCE", help="run the batch plan over this folder first")
-    p.add_argument("--configs", help="folder of config-driven parsers for --rebuild")
+    p.add_argument("--configs", default=CONFIGS, help="folder of config-driven parsers for --rebuild")
     p.add_argument("--mappings", help="folder of mappings for --rebuild")
     a = p.parse_args(argv)
     spark = SparkSession.builder.getOrCreate()
     if a.rebuild:
-        from weir.plans.batch import parser_options, run
-
         run(spark, a.rebuild, a.target, ordered=True, **parser_options(a.configs, a.mappings))
     s = server(spark, a.target)
     print(f"http://{s.server_address[0]}:{s.server_address[1]}/", flush=True)
