@@ -107,10 +107,15 @@ def test_encoder_equals_tokenizer(spark):
 
     rnd = random.Random(3)
     letters = "aBéÑ'.!<|>1 ٣́İßµªº×÷\x1c\t\nﬀ\u2028"
-    odd = ["", "it's DON'T we'll", "<|endoftext|> x", "a\x85b", "ﬁ ½ ＡＢ", "각 é", "12.34,x1"] + ["".join(rnd.choice(letters) for _ in range(rnd.randint(0, 50))) for _ in range(500)]
-    ids, at = packing.Encoder(packing.public_tokenizer()).encode(pa.array([t.encode() for t in odd], pa.large_binary()).cast(pa.large_string()))
+    odd = ["", "it's DON'T we'll", "<|endoftext|> x", "a\x85b", "ﬁ ½ ＡＢ", "각 é", "12.34,x1", '"abc", (Abc)!! abc\'', "Ÿ ÿ! ẞ, K."] + ["".join(rnd.choice(letters) for _ in range(rnd.randint(0, 50))) for _ in range(500)]
+    odd += [" ".join(rnd.choice(("", '"', "'", "(")) + rnd.choice(("ab", "Ab", "é", "a1", "")) + rnd.choice(("", ",", "!!", "'.")) for _ in range(12)) for _ in range(200)]
     tk = Tokenizer.from_file(packing.public_tokenizer())
-    assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [tk.encode(t, add_special_tokens=False).ids for t in odd]
+    want = [tk.encode(t, add_special_tokens=False).ids for t in odd]
+    for memo in (packing.MEMO, 5):
+        e = packing.Encoder(packing.public_tokenizer(), memo)
+        for at in range(0, len(odd), 100):
+            ids, ends = e.encode(pa.array([t.encode() for t in odd[at : at + 100]], pa.large_binary()).cast(pa.large_string()))
+            assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:])] == want[at : at + 100]
 
 
 def contract_spans(text):

@@ -34,7 +34,7 @@ from weir.llm.common import map_rows, materialize, read_table, text_bytes
 CAPACITY = 4096
 END_ID = 1
 SALTS = 32
-MEMO = 300_000
+MEMO = 100_000
 BATCH_ROWS = 4000
 #: Lower-case letters that no normalization changes, and ASCII punctuation without the
 #: apostrophe: the pre-tokenizer cuts between the two.
