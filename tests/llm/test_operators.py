@@ -501,6 +501,19 @@ def test_simhash_links_of_planted_prints(spark):
     assert {r.doc_id: r.component_id for r in simhash.group_by_fingerprint(df).collect()} == brute_groups(prints)
 
 
+def test_simhash_broadcasts_no_table_that_grows(spark, monkeypatch):
+    """Joins of prints and links stay off the driver: its heap held several at 0.6 GB and failed."""
+    plans = []
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    stored = simhash.materialize
+    monkeypatch.setattr(simhash, "materialize", lambda df, tag: (plans.append(plan(df)), stored(df, tag))[1])
+    prints = spark.createDataFrame([(i, i << 20) for i in range(60)], "doc_id bigint, fp bigint")
+    out = simhash.group_by_fingerprint(simhash.materialize(prints, "prints"))
+    plans.append(plan(out))
+    assert len(plans) > 6 and out.count() == 60
+    assert any("SortMergeJoin" in p for p in plans) and not any("BroadcastHashJoin" in p for p in plans)
+
+
 def test_simhash_links_in_full_segments(spark):
     """Hundreds of prints that share one segment, in clusters: the bucket is looked up by both."""
     rnd = random.Random(16)

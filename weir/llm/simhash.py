@@ -95,6 +95,12 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text
     return map_rows(rows, lambda ids, texts: {"doc_id": ids, "fp": [signed(majority(shingle_hashes(t, shingle))) for t in texts]}, "doc_id bigint, fp bigint")
 
 
+def joined(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """A join whose sides grow with the input: sorted and merged by executors. A broadcast
+    would have the driver build the table, and links() would have it build several at once."""
+    return left.hint("merge").join(right.hint("merge"), on, how)
+
+
 def ball(segment: F.Column) -> list[F.Column]:
     """The values of a segment at one bit or none."""
     return [segment, *(segment.bitwiseXOR(F.lit(1 << bit)) for bit in range(SEGMENT))]
@@ -107,19 +113,19 @@ def links(distinct: DataFrame, full: int = FULL) -> DataFrame:
     tagged = F.array(F.struct(low.alias("key"), high.alias("other")), F.struct((high + F.lit(1 << SEGMENT)).alias("key"), low.alias("other")))
     tables = distinct.select("fp", F.inline(tagged))
     hot = materialize(tables.groupBy("key").count().where(F.col("count") > full).select("key", F.lit(True).alias("hot")), "hot-segments")
-    tables = materialize(tables.join(hot, "key", "left").select("key", "other", "fp", F.coalesce("hot", F.lit(False)).alias("hot")), "segments")
+    tables = materialize(joined(tables, hot, "key", "left").select("key", "other", "fp", F.coalesce("hot", F.lit(False)).alias("hot")), "segments")
     bits = tables.select("fp", "other", "key", F.explode(F.array(*[F.lit(1 << bit) for bit in range(SEGMENT)])).alias("bit"))
     asking = bits.where(F.col("key").bitwiseAND(F.col("bit")) == 0).select("fp", "other", F.col("key").bitwiseOR(F.col("bit")).alias("key"))
     few, many = tables.where("not hot"), tables.where("hot")
     met = [
-        few.select("key", F.col("fp").alias("a")).join(few.select("key", F.col("fp").alias("b")), "key").where("a > b").select("a", "b"),
-        asking.select("key", F.col("fp").alias("a")).join(few.select("key", F.col("fp").alias("b")), "key").select("a", "b"),
+        joined(few.select("key", F.col("fp").alias("a")), few.select("key", F.col("fp").alias("b")), "key").where("a > b").select("a", "b"),
+        joined(asking.select("key", F.col("fp").alias("a")), few.select("key", F.col("fp").alias("b")), "key").select("a", "b"),
     ]
     around = many.select("key", "fp", F.explode(F.array(*ball(F.col("other")))).alias("other"))
     before = around.withColumn("b", F.lag("fp").over(Window.partitionBy("key", "other").orderBy("fp")))
     met.append(before.where("b is not null").select(F.col("fp").alias("a"), "b"))
-    wide = asking.join(hot.select("key"), "key").select("key", F.col("fp").alias("a"), F.explode(F.array(*ball(F.col("other")))).alias("other"))
-    met.append(wide.join(many.select("key", "other", F.col("fp").alias("b")), ["key", "other"]).select("a", "b"))
+    wide = joined(asking, hot.select("key"), "key").select("key", F.col("fp").alias("a"), F.explode(F.array(*ball(F.col("other")))).alias("other"))
+    met.append(joined(wide, many.select("key", "other", F.col("fp").alias("b")), ["key", "other"]).select("a", "b"))
     near = [m.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")) for m in met]
     return reduce(DataFrame.unionByName, near).distinct()
 
@@ -139,9 +145,9 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = joined(both.where("b > a"), least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         low = materialize(large.groupBy("a").agg(F.min("b").alias("m")), "low")
-        small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
+        small = joined(large, low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
         new = materialize(small.distinct(), "edges")
         now = new.agg(*digest).first()
         drop(spark, edges, least, low)
@@ -156,9 +162,9 @@ def group_by_fingerprint(prints: DataFrame) -> DataFrame:
     """prints with component_id, the smallest doc_id of its linked fingerprints."""
     distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprints")
     roots = components(links(distinct))
-    linked = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = linked.join(linked.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    return prints.join(named, "fp")
+    linked = joined(distinct, roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    named = joined(linked, linked.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
+    return joined(prints, named, "fp")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
