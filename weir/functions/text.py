@@ -7,6 +7,8 @@ Absent groups and empty matches are NULL here; sinks write them as empty strings
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +35,11 @@ def pairs(c: Column, pattern: str, lower: bool = False) -> Column:
     return F.map_from_arrays(keys, F.regexp_extract_all(c, F.lit(FLAGS + pattern), F.lit(2)))
 
 
+def once(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f(c), where c is evaluated once however often f names it."""
+    return F.try_element_at(F.transform(F.array(c), f), F.lit(1))
+
+
 def get(m: Column, key: str) -> Column:
     return F.try_element_at(m, F.lit(key))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weir.functions.text import as_text, fenced, get, group, is_object, is_scalar, matches, strict_object
+from weir.functions.text import as_text, fenced, get, group, is_object, is_scalar, matches, once, strict_object
 from weir.operators.generic import LEEF
 from weir.operators.vendors import CEF
 
@@ -78,18 +78,27 @@ def flatten_object(json: Column) -> Column:
     return F.map_from_entries(F.reverse(scalars))
 
 
-def split_header(text: Column) -> tuple[Column, Column]:
-    """Map of the syslog header, NULL without one, and the body."""
+def header_and_body(text: Column) -> Column:
+    """Struct of the map of the syslog header, NULL without one, and the body. Each group
+    of a pattern is matched once and named often."""
     found = []
     for pattern, names in HEADERS:
-        at = {n: group(text, pattern, i + 1) for i, n in enumerate(names)}
-        fields = entries({f"syslog_{n}": F.when(v != "-", v) for n, v in at.items()})
-        ok = matches(text, pattern) & (F.size(fields) > 0)
-        if pattern.startswith(rf"\A(?:<(\d{{1,3}})>)?{CLOCK}"):
-            ok = ok & F.substring(at["timestamp"], 1, 3).isin(*MONTHS)
-        found.append(F.when(ok, F.struct(fields.alias("header"), strip(F.regexp_extract(text, "(?dU)" + pattern, len(names) + 1)).alias("body"))))
-    best = F.coalesce(*found)
-    return best["header"], F.when(best.isNotNull(), best["body"]).otherwise(text)
+
+        def split(g: Column) -> Column:
+            at = {n: g[i] for i, n in enumerate(names)}
+            ok = F.substring(at["timestamp"], 1, 3).isin(*MONTHS) if pattern.startswith(rf"\A(?:<(\d{{1,3}})>)?{CLOCK}") else F.lit(True)
+            return F.when(ok, F.struct(entries({f"syslog_{n}": F.when(v != "-", v) for n, v in at.items()}).alias("header"), strip(g[len(names)]).alias("body")))
+
+        groups = F.array(*[F.regexp_extract(text, "(?dU)" + pattern, i + 1) for i in range(len(names) + 1)])
+        best = once(groups, split)
+        found.append(F.when(matches(text, pattern), once(best, lambda b: F.when(F.size(b["header"]) > 0, b))))
+    return F.coalesce(*found, F.struct(F.lit(None).cast("map<string,string>").alias("header"), text.alias("body")))
+
+
+def split_header(text: Column) -> tuple[Column, Column]:
+    """Map of the syslog header, NULL without one, and the body."""
+    best = header_and_body(text)
+    return best["header"], best["body"]
 
 
 def flow_fields(header: Column, body: Column) -> Column:
@@ -121,8 +130,7 @@ def tokenize(df: DataFrame, text: str, out: str = "tokens", when: Column | None
     """df with the struct out(mode, fields); NULL where `when` is false."""
     line = strip(F.col(text))
     df = df.withColumn("_tt", line if when is None else F.when(when, line))
-    header, body = split_header(F.col("_tt"))
-    df = df.withColumn("_th", F.struct(header.alias("header"), body.alias("body")))
+    df = df.withColumn("_th", header_and_body(F.col("_tt")))
     header, body = F.col("_th.header"), F.col("_th.body")
     df = df.withColumn("_tb", F.struct(
         F.when(body.startswith("{"), flatten_object(strict_object(body))).alias("json"),

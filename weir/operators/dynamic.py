@@ -12,7 +12,7 @@ import yaml
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weir.functions.text import digits, empty_to_null, get, group, keys_of, matches, quoted, without
+from weir.functions.text import digits, empty_to_null, fenced, get, group, keys_of, matches, quoted, without
 from weir.functions.tokenize import CHAINS, STRUCTURED, flow_projection, tokenize
 from weir.operators.generic import outcome
 from weir.plans.schema import PARSED, column_of, parsed
@@ -120,15 +120,23 @@ def apply_field_map(fields: Column, field_map: dict[str, str], timestamp_keys: t
     return out, keys_of(*used)
 
 
-def build(config: DynamicConfig, line: Column, tokens: Column) -> Column:
-    """PARSED struct of the config for a line, NULL where it does not claim it."""
+def source_fields(config: DynamicConfig, line: Column, tokens: Column) -> Column:
+    """Map of the fields that the config reads from a line, NULL where it has no say."""
     if config.line_regex is not None:
         pattern = r"\A(?:" + config.line_regex + ")"
         fields = F.map_from_entries(F.filter(F.array(*[F.struct(F.lit(n).alias("key"), group(line, pattern, i, "(?dU)").alias("value")) for n, i in config.groups.items()]), lambda e: e["value"].isNotNull())) if config.groups else F.create_map().cast("map<string,string>")
-        claim = matches(line, pattern)
+        return F.when(matches(line, pattern), fields)
+    return flow_projection(tokens) if config.mode == "rt_flow" else F.when(tokens["mode"] == config.mode, tokens["fields"])
+
+
+def build(config: DynamicConfig, fields: Column, spent: Column | None = None) -> tuple[Column, Column]:
+    """PARSED struct of the config for its fields, NULL where it does not claim the line,
+    and the array of keys used. `fields`, and `spent` for those keys, are columns that
+    stand already: they are named once for each key, and within lambdas."""
+    if config.line_regex is not None:
+        claim = fields.isNotNull()
         got, used = apply_field_map(fields, config.field_map)
     else:
-        fields = flow_projection(tokens) if config.mode == "rt_flow" else F.when(tokens["mode"] == config.mode, tokens["fields"])
         got, used = apply_field_map(fields, config.field_map, config.timestamp_keys)
         wanted = list(dict.fromkeys([*config.field_map.values(), *config.timestamp_keys]))
         claim = F.coalesce(*[empty_to_null(get(fields, k)) for k in wanted]).isNotNull() if wanted else F.lit(False)
@@ -159,8 +167,8 @@ def build(config: DynamicConfig, line: Column, tokens: Column) -> Column:
     defaults = {"observer_vendor": config.vendor, "observer_product": config.product, "event_category": config.category}
     for name, text in defaults.items():
         values[name] = F.coalesce(values[name], F.lit(text)) if name in values else F.lit(text)
-    values |= {"parse_format": F.lit(config.route or config.mode or ""), "parse_parser": F.lit(f"llm:{config.vendor or config.stem}"), "parse_status": F.lit("ok"), "parse_confidence": F.lit(1.0), "mapping_version": F.lit(""), "unmapped": quoted(without(fields, used))}
-    return F.when(claim, parsed(**values))
+    values |= {"parse_format": F.lit(config.route or config.mode or ""), "parse_parser": F.lit(f"llm:{config.vendor or config.stem}"), "parse_status": F.lit("ok"), "parse_confidence": F.lit(1.0), "mapping_version": F.lit(""), "unmapped": quoted(without(fields, used if spent is None else spent))}
+    return F.when(claim, parsed(**values)), used
 
 
 def add_dynamic(df: DataFrame, text: str, configs: tuple[DynamicConfig, ...], claimed: Column, out: str) -> DataFrame:
@@ -175,5 +183,9 @@ def add_dynamic(df: DataFrame, text: str, configs: tuple[DynamicConfig, ...], cl
         df = tokenize(df, text, "_tokens", F.col("_open"))
     else:
         df = df.withColumn("_tokens", F.lit(None).cast("struct<mode:string,fields:map<string,string>>"))
-    tries = [F.when(F.col("_open") & F.col("fmt").isin(*c.formats), build(c, F.col(text), F.col("_tokens"))) for c in configs]
-    return df.withColumn(out, F.coalesce(*tries)).drop("_open", "_tokens")
+    asks = [F.col("_open") & F.col("fmt").isin(*c.formats) for c in configs]
+    df = fenced(df, "_fields", F.struct(*[F.when(ask, source_fields(c, F.col(text), F.col("_tokens"))).alias(f"c{i}") for i, (c, ask) in enumerate(zip(configs, asks))]))
+    fields = [F.col("_fields")[f"c{i}"] for i in range(len(configs))]
+    df = fenced(df, "_used", F.struct(*[F.when(f.isNotNull(), build(c, f)[1]).alias(f"c{i}") for i, (c, f) in enumerate(zip(configs, fields))]))
+    tries = [F.when(ask, build(c, f, F.col("_used")[f"c{i}"])[0]) for i, (c, ask, f) in enumerate(zip(configs, asks, fields))]
+    return df.withColumn(out, F.coalesce(*tries)).drop("_open", "_tokens", "_fields", "_used")

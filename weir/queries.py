@@ -457,7 +457,7 @@ def dynamic_flow_twin(spark, sf_dir):
 
 def by_config(spark: SparkSession, sf_dir: str, line: str, config: dict) -> DataFrame:
     """Events of rendered lines that a config alone may claim."""
-    df = of_events(spark, sf_dir, line).withColumns({"source_file": F.lit("f"), "seq": F.col("event_id")})
+    df = dealt(of_events(spark, sf_dir, line), "event_id").withColumns({"source_file": F.lit("f"), "seq": F.col("event_id")})
     return normalize(records_of(df), O.INGEST, parsers=(), dynamic=(compile_config(config),))
 
 
