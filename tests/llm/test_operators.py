@@ -622,6 +622,66 @@ def test_near_duplicates_at_the_threshold(spark):
     assert got == brute_near(made)
 
 
+def test_print_pairs(spark):
+    """All pairs at NEAR bits or fewer, from segment tables; in full buckets some, but none that is farther."""
+    rnd = random.Random(21)
+    prints, x = {}, rnd.getrandbits(64)
+    for i in range(400):
+        if rnd.random() < 0.3:
+            x = rnd.getrandbits(64)
+        y = x
+        for _ in range(rnd.randint(0, 5)):
+            y ^= 1 << rnd.randrange(64)
+        prints[1000 - i] = y
+    prints |= {5: prints[700], 6: prints[700]}
+    nodes = spark.createDataFrame([(i, simhash.signed(p)) for i, p in prints.items()], "node bigint, fp bigint")
+    least = {p: min(i for i in prints if prints[i] == p) for p in prints.values()}
+    want = {(a, b) for a in prints for b in prints if a > b and (prints[a] ^ prints[b]).bit_count() <= simhash.NEAR}
+    got = {(r.a, r.b) for r in simhash.print_pairs(nodes, full=1 << 20).collect()}
+    assert got <= want and {(a, b) for a, b in want if least[prints[a]] == a and least[prints[b]] == b} <= got
+    assert {(prints[a], min(b for x, b in got if x == a)) for a in prints if least[prints[a]] != a} == {(prints[a], least[prints[a]]) for a in prints if least[prints[a]] != a}
+    some = {(r.a, r.b) for r in simhash.print_pairs(nodes, full=2).collect()}
+    assert some and some < want
+
+
+def test_near_duplicates_begin_with_prints(spark, monkeypatch):
+    """Links come from fingerprints first; the rounds by shingles compare only what these left open."""
+    rnd = random.Random(22)
+    word = lambda: "w" + str(rnd.randint(0, 50000))
+    made = []
+    for n in range(30):
+        base = [word() for _ in range(400)]
+        made.append(" ".join(base))
+        for edits in (1, 1, 2, 8):
+            w = list(base)
+            for at in rnd.sample(range(5, 395), edits):
+                w[at] = word()
+            made.append(" ".join(w))
+    rounds, compare = [], simhash.at_least
+
+    def spy(pairs, *rest):
+        out = compare(pairs, *rest)
+        rounds.append([{(r.a, r.b) for r in df.collect()} for df in (pairs, out)])
+        return out
+
+    monkeypatch.setattr(simhash, "at_least", spy)
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs_of(spark, made)).collect()}
+    assert got == brute_near(made)
+    sets = [np.unique(simhash.gram_hashes(t.encode(), 5)) for t in made]
+    held = {simhash.set_digest(h): set(h.tolist()) for h in sets}
+    prints = {simhash.set_digest(h): simhash.majority(h) for h in sets}
+    near = {(a, b) for a in prints for b in prints if a > b and (prints[a] ^ prints[b]).bit_count() <= simhash.NEAR}
+    (asked, found), later = rounds[0], rounds[1:]
+    assert len(found) > 30 and asked <= near
+    similar = {(a, b) for a, b in near if len(held[a] & held[b]) >= 0.8 * len(held[a] | held[b])}
+    least = {p: min(x for x in prints if prints[x] == p) for p in prints.values()}  # stands for all of its print
+    assert found <= similar and {(a, b) for a, b in similar if least[prints[a]] == a and least[prints[b]] == b} <= found
+    root = {x: x for x in prints}
+    for a, b in found:
+        root = {x: root[b] if r == root[a] else r for x, r in root.items()}
+    assert any(pairs for pairs, _ in later) and all(root[a] != root[b] for pairs, _ in later for a, b in pairs)
+
+
 def test_languages(spark):
     sf = "/root/testdata/sf0.01"
     truth = {r[0]: (r[1], r[2]) for r in duckdb.sql(f"select doc_id, text, lang from '{sf}/documents.parquet'").fetchall()}

@@ -175,6 +175,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 WIDE, FILTER_BITS = 4, 1 << 28
+NEAR = 5
 SAMPLE, COMMON, BLOCK = 16, 1 << 16, 256
 
 
@@ -248,6 +249,41 @@ def members(ids: DataFrame, column: str, most: int = FILTER_BITS) -> np.ndarray:
     return out
 
 
+def print_pairs(nodes: DataFrame, full: int = FULL) -> DataFrame:
+    """(a, b), a > b: nodes whose fingerprints fp differ in at most NEAR bits, by multi-index
+    hashing; stored.
+
+    Two such prints have a segment of 32 bits in which they differ in at most two. A print
+    stands in the table of either segment under every value of that segment's Hamming ball
+    of radius 1, so balls around segments two bits apart meet in a bucket; the complete
+    distance of what meets is verified. A bucket of more than `full` prints would be
+    quadratic: there each is compared with the first and with the one before it, and so are
+    the nodes of one print. What that leaves out is left to the rounds by shingles."""
+    of_print = Window.partitionBy("fp").orderBy("node")
+    held = nodes.select("fp", "node", F.lag("node").over(of_print).alias("before"), F.first("node").over(of_print).alias("first"))
+    same = held.where("before is not null").select(F.col("node").alias("a"), F.explode(F.array_distinct(F.array("before", "first"))).alias("b"))
+    low, high = F.col("fp").bitwiseAND(F.lit((1 << SEGMENT) - 1)), F.shiftrightunsigned("fp", SEGMENT)
+    tables = held.where("before is null").select("fp", "node", F.explode(F.array(*ball(low), *ball(high + F.lit(1 << SEGMENT)))).alias("key"))
+    order = Window.partitionBy("key").orderBy("fp")
+    size = F.count(F.lit(1)).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    one = F.struct("fp", "node")
+    met = materialize(tables.select("key", one.alias("p"), size.alias("size"), F.lag(one).over(order).alias("before"), F.first(one).over(order).alias("first")).where("size > 1"), "met-prints")
+    few, many = met.where(F.col("size") <= full), met.where((F.col("size") > full) & F.col("before").isNotNull())
+    both = joined(few.select("key", "p"), few.select("key", F.col("p").alias("q")), "key").where("p.node > q.node").select("p", "q")
+    both = both.unionByName(many.select("p", F.explode(F.array_distinct(F.array("before", "first"))).alias("q")))
+    near = both.where(F.bit_count(F.col("p.fp").bitwiseXOR(F.col("q.fp"))) <= NEAR).select(F.greatest("p.node", "q.node").alias("a"), F.least("p.node", "q.node").alias("b"))
+    out = materialize(near.unionByName(same).distinct(), "near-prints")
+    discard(nodes.sparkSession, met)
+    return out
+
+
+def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes that the components do not join."""
+    for side in ("a", "b"):
+        pairs = joined(pairs, roots.select(F.col("node").alias(side), F.col("root").alias(f"r{side}")), side, "left")
+    return pairs.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+
+
 def at_least(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """The pairs (a, b) of nodes that have that share of their shingles in common.
 
@@ -311,16 +347,19 @@ def open_members(shared: DataFrame, edges: DataFrame, tag: str) -> DataFrame:
 def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, component_id) at a similarity of word shingles, of each row with an id.
 
-    Texts of equal sets of shingles are one node. A node stands in the bucket of each
-    shingle of its prefix, so nodes at that similarity share a bucket. Three rounds find
-    the links. In the first a member is compared with the bucket's first and with the one
-    before it, in the second with the member that shares most of its prefix, which is the
-    original of a star of copies. The third compares every pair of a bucket that earlier
-    links do not join already, in blocks; so dense groups cost few pairs, and no pair
-    that could add a link goes unseen. Pairs are left out only by bounds that hold: by
-    places in the prefix, by parities in 256 bits, then by parities in as many bits as
-    there are shingles. The others have their shingles compared. Texts without words are
-    copies of each other.
+    Texts of equal sets of shingles are one node with one SimHash fingerprint. The first
+    round finds links by the method: prints at NEAR bits or fewer meet in segment tables,
+    and their shingles are compared. Prints at that similarity can be farther apart (up to
+    15 bits), which no ball within a segment reaches, so three rounds by shingles complete
+    the links. A node stands in the bucket of each shingle of its prefix, so nodes at that
+    similarity share a bucket. Of these rounds, the first compares a member with the
+    bucket's first and with the one before it, the second with the member that shares most
+    of its prefix, which is the original of a star of copies. The third compares every pair
+    of a bucket. All three leave out what earlier links join already, the third works in
+    blocks; so dense groups cost few pairs, and no pair that could add a link goes unseen.
+    Other pairs are left out only by bounds that hold: by places in the prefix, by parities
+    in 256 bits, then by parities in as many bits as there are shingles. The others have
+    their shingles compared. Texts without words are copies of each other.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_bytes(text_col).alias("text")).where("doc_id is not null")
@@ -330,25 +369,17 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     def fn(ids, texts):
         sets = [np.unique(gram_hashes(t, shingle)) for t in texts]
         prints = [parities(h) for h in sets]
-        out = {"doc_id": ids, "node": [set_digest(h) for h in sets], "n": [len(h) for h in sets], "keys": [prefix(h, common.value, similarity) for h in sets]}
+        out = {"doc_id": ids, "node": [set_digest(h) for h in sets], "fp": [signed(majority(h)) for h in sets], "n": [len(h) for h in sets], "keys": [prefix(h, common.value, similarity) for h in sets]}
         out["long"] = [parities(h, print_bits(len(h))) for h in sets]
         return out | {f: [w[i] for w in prints] for i, f in enumerate(wide)}
 
-    made = materialize(map_rows(rows, fn, "doc_id bigint, node bigint, n int, keys array<bigint>, long array<bigint>, " + ", ".join(f"{f} bigint" for f in wide)), "wide-prints")
+    made = materialize(map_rows(rows, fn, "doc_id bigint, node bigint, fp bigint, n int, keys array<bigint>, long array<bigint>, " + ", ".join(f"{f} bigint" for f in wide)), "wide-prints")
     prints = materialize(made.select("doc_id", "node"), "holders")
-    nodes = materialize(made.groupBy("node").agg(F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ("n", "keys", "long", *wide)]), "wide-nodes")
+    nodes = materialize(made.groupBy("node").agg(F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ("fp", "n", "keys", "long", *wide)]), "wide-nodes")
     discard(spark, made)
-    tables = nodes.select("node", "n", F.posexplode("keys").alias("pos", "key")).select("key", "node", F.shiftleft(F.col("n").cast("bigint"), 32).bitwiseOR(F.col("pos").cast("bigint")).alias("at"))
-    order = Window.partitionBy("key").orderBy("node")
-    met = tables.select("key", "node", "at", *[f(c).over(order).alias(f"{tag}_{c}") for tag, f in (("before", F.lag), ("first", F.first)) for c in ("node", "at")], F.lead("node").over(order).alias("after"))
-    met = materialize(met.where("before_node is not null or after is not null").drop("after"), "met")
-
-    def member(node: str, at: str) -> F.Column:
-        return F.struct(F.col(node).alias("node"), F.shiftright(at, 32).cast("int").alias("n"), F.col(at).bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("pos"))
 
     def links_of(pairs: DataFrame, tag: str) -> DataFrame:
-        """The pairs (p, q) that are similar enough, as edges."""
-        pairs = pairs.where(fits("p", "q", similarity)).select(F.greatest("p.node", "q.node").alias("a"), F.least("p.node", "q.node").alias("b")).distinct()
+        """The pairs (a, b) that are similar enough, as edges."""
         for side in ("a", "b"):
             pairs = pairs.join(nodes.select(F.col("node").alias(side), F.struct("n", *wide).alias(f"p{side}")), side)
         alone = (1 - similarity) / (1 + similarity) * (F.col("pa.n") + F.col("pb.n")) + 1e-6
@@ -361,22 +392,39 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
         discard(spark, few, near)
         return out
 
+    def placed(pairs: DataFrame) -> DataFrame:
+        """The pairs (p, q) whose places in the prefix allow that similarity, as (a, b)."""
+        return pairs.where(fits("p", "q", similarity)).select(F.greatest("p.node", "q.node").alias("a"), F.least("p.node", "q.node").alias("b")).distinct()
+
+    near = print_pairs(nodes)
+    edges = links_of(near, "print")
+    discard(spark, near)
+    roots = materialize(components(edges), "print-roots")
+    tables = nodes.select("node", "n", F.posexplode("keys").alias("pos", "key")).select("key", "node", F.shiftleft(F.col("n").cast("bigint"), 32).bitwiseOR(F.col("pos").cast("bigint")).alias("at"))
+    order = Window.partitionBy("key").orderBy("node")
+    met = tables.select("key", "node", "at", *[f(c).over(order).alias(f"{tag}_{c}") for tag, f in (("before", F.lag), ("first", F.first)) for c in ("node", "at")], F.lead("node").over(order).alias("after"))
+    met = materialize(met.where("before_node is not null or after is not null").drop("after"), "met")
+
+    def member(node: str, at: str) -> F.Column:
+        return F.struct(F.col(node).alias("node"), F.shiftright(at, 32).cast("int").alias("n"), F.col(at).bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("pos"))
+
     neighbours = F.explode(F.array_distinct(F.array(member("before_node", "before_at"), member("first_node", "first_at"))))
-    edges = links_of(met.where("before_node is not null").select(member("node", "at").alias("p"), neighbours.alias("q")), "neighbour")
+    pairs = placed(met.where("before_node is not null").select(member("node", "at").alias("p"), neighbours.alias("q")))
+    edges = edges.unionByName(links_of(apart(pairs, roots), "neighbour"))
     # A set of n shingles has a prefix of n - ceil(similarity * n) + 1: the share of it that others hold.
     kept = F.shiftright(F.first("at"), 32)
     shares = materialize(met.groupBy("node").agg((F.count(F.lit(1)) / (kept - F.ceil(similarity * kept - 1e-6) + 1)).alias("share")), "shares")
     shared = materialize(met.join(shares, "node").select("key", "node", F.shiftright("at", 32).cast("int").alias("n"), F.col("at").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("pos"), "share"), "shared")
-    discard(spark, met, shares)
+    discard(spark, met, shares, roots)
     left = open_members(shared, edges, "led")
-    edges = edges.unionByName(links_of(left.where("p.root <> lead.root").select("p", F.col("lead").alias("q")), "leader"))
+    edges = edges.unionByName(links_of(placed(left.where("p.root <> lead.root").select("p", F.col("lead").alias("q"))), "leader"))
     discard(spark, left)
     left = open_members(shared, edges, "rest")
     discard(spark, shared)
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     one = left.select("key", F.pmod(F.xxhash64("p.node"), blocks).cast("int").alias("block"), "p")
     other = left.select("key", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.col("p").alias("q"))
-    edges = edges.unionByName(links_of(one.join(other, ["key", "block"]).where("p.node > q.node and p.root <> q.root"), "rest"))
+    edges = edges.unionByName(links_of(placed(one.join(other, ["key", "block"]).where("p.node > q.node and p.root <> q.root")), "rest"))
     discard(spark, left)
     roots = components(edges)
     named = nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
